@@ -27,14 +27,17 @@ def local_session(cpus: int = 8, app: str = "docketlens") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and job outputs.
 
-    The cluster names it in ``spark.checkpoint.dir``; a scratch folder is chosen only where the
-    setting is absent, as in tests on one machine.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local master gets a
+    scratch folder, as in tests; on a cluster it is an error, since executors share no local disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured is None:
         configured = context.getCheckpointDir()
     if configured is None:
+        master = context.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="docketlens-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
