@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
 from .language import op5_language_id
+from .pii import op9_pii
 from .simhash import op10_simhash
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op5_language_id": op5_language_id,
+        "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
     }
 
