@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
 from .language import op5_language_id
+from .packing import op7_packing
 from .pii import op9_pii
 from .simhash import op10_simhash
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op5_language_id": op5_language_id,
+        "op7_packing": op7_packing,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
     }
