@@ -292,6 +292,17 @@ def contamination(
     )
 
 
+def uncontaminated(
+    docs: DataFrame, items: DataFrame, options: TemplateOptions = TemplateOptions()
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; rows without an id are judged together."""
+    found = contamination(docs.select("doc_id", "text"), items, options)
+    hit = found.select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti").select(
+        *[docs[c] for c in docs.columns]
+    )
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(
         common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
 from .language import op5_language_id
+from .sharding import op2_sharding
+from .chat import op3_chat_format
 from .packing import op7_packing
 from .pii import op9_pii
 from .simhash import op10_simhash
@@ -16,6 +18,8 @@ from .simhash import op10_simhash
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_sharding": op2_sharding,
+        "op3_chat_format": op3_chat_format,
         "op5_language_id": op5_language_id,
         "op7_packing": op7_packing,
         "op9_pii": op9_pii,

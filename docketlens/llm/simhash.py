@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -271,3 +272,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest id.
+
+    Rows without an id cannot be told apart, so they all stay. Of rows that share an id the one with
+    the smallest text stays.
+    """
+    placed = documents_with_components(docs.select("doc_id", "text"))
+    kept = placed.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    nameless = docs.filter(F.col("doc_id").isNull())
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__first", first)
+    return (
+        named.filter(F.col("__first") == 1).select(*docs.columns)
+        .unionByName(nameless.select(*docs.columns))
+    )
