@@ -118,15 +118,24 @@ class Scorer:
 
 
 def labelled_sample(df: DataFrame, options: LanguageOptions) -> DataFrame:
-    """About ``rows_per_language`` rows of each language, chosen by a hash of the id."""
+    """About ``rows_per_language`` rows of each language, chosen by a hash of the id.
+
+    The languages' row counts reach the driver (the matrix bound limits them), so that no text is
+    shuffled by its language.
+    """
     labelled = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    share = F.lit(float(options.rows_per_language)) / F.col("rows")
-    return (
-        labelled.join(sizes, "lang")
-        .filter(common.sample_share(F.col("doc_id"), "language") < share)
-        .select("lang", "text")
-    )
+    most = options.max_matrix_bytes // (4 << options.bits)
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError("the log-probability matrix of so many languages is too large to broadcast")
+    if not sizes:
+        return labelled.select("lang", "text").limit(0)
+    shares = F.create_map(*[
+        F.lit(x) for r in sizes for x in (r["lang"], options.rows_per_language / r["rows"])
+    ])
+    return labelled.filter(
+        common.sample_share(F.col("doc_id"), "language") < F.try_element_at(shares, F.col("lang"))
+    ).select("lang", "text")
 
 
 def train(df: DataFrame, options: LanguageOptions = LanguageOptions()) -> Scorer:
@@ -161,8 +170,6 @@ def train(df: DataFrame, options: LanguageOptions = LanguageOptions()) -> Scorer
         .mapInArrow(count, "lang string, rows long, counts binary").collect()
     )
     languages = sorted({r["lang"] for r in parts})
-    if len(languages) * width * 4 > options.max_matrix_bytes:
-        raise ValueError("the log-probability matrix of so many languages is too large to broadcast")
     counts = np.zeros((len(languages), width))
     rows = np.zeros(len(languages))
     for r in parts:
@@ -208,6 +215,15 @@ def is_kept(name: Column, share: Column, minimum: float = 0.5) -> Column:
     return (name != UNDETERMINED) & (share >= minimum)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language was found; all rows if there is nothing to learn from."""
+    scorer = train(learnable(docs))
+    if not scorer.languages:
+        return docs
+    found = identify(docs, scorer, outputs=("__lang", "__share"))
+    return found.filter(is_kept(F.col("__lang"), F.col("__share"))).select(*docs.columns)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     scorer = train(learnable(docs))
