@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
 from .language import op5_language_id
+from .quality import op8_quality_cascade
+from .url_lists import OP4_SQL, op4_url_lists
 from .sharding import op2_sharding
 from .chat import op3_chat_format
 from .packing import op7_packing
@@ -20,12 +22,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_sharding": op2_sharding,
         "op3_chat_format": op3_chat_format,
+        "op4_url_lists": op4_url_lists,
         "op5_language_id": op5_language_id,
         "op7_packing": op7_packing,
+        "op8_quality_cascade": op8_quality_cascade,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_lists": OP4_SQL}
