@@ -10,6 +10,7 @@ from .decontaminate import op1_decontamination
 from .language import op5_language_id
 from .quality import op8_quality_cascade
 from .url_lists import OP4_SQL, op4_url_lists
+from .toxicity import op6_toxicity
 from .sharding import op2_sharding
 from .chat import op3_chat_format
 from .packing import op7_packing
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": op3_chat_format,
         "op4_url_lists": op4_url_lists,
         "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
         "op8_quality_cascade": op8_quality_cascade,
         "op9_pii": op9_pii,
