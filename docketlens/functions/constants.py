@@ -66,7 +66,6 @@ COLUMN_ALIASES = {
     "cat": "cr_category",
 }
 DOCUMENT_ID_PREFIXES = ("R2-", "R3-", "S2-", "C1-")
-HEADER_SEARCH_ROWS = 250
 
 # --- fixed values: organisation names -------------------------------------------------------
 CORPORATE_SUFFIXES = ("inc", "inc.", "ltd", "ltd.", "llc", "n.v.", "b.v.")
@@ -81,11 +80,6 @@ ORGANIZATION_ALIASES = {
 
 # --- fixed values: limits and defaults ------------------------------------------------------
 MIN_INGESTION_COVERAGE = 0.995
-MAX_DOCUMENT_BLOCKS = 75_000
-MAX_WORKBOOK_ROWS = 100_000
-MAX_ARCHIVE_MEMBERS = 200
-MAX_ARCHIVE_BYTES = 500 * 1024 * 1024
-MAX_ARCHIVE_DEPTH = 1
 RRF_K = 60
 TOPIC_MIN_CONFIDENCE = 0.65
 EXCERPT_CHARS = 500

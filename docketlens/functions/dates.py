@@ -39,42 +39,53 @@ def _range(starts_on: Column, ends_on: Column) -> Column:
     return F.when(both, F.struct(starts_on.alias("starts_on"), ends_on.alias("ends_on")))
 
 
+def _match(line: Column, pattern: str) -> Column:
+    """The first match of a form as one string, null if there is none; one pass over the text."""
+    found = F.regexp_extract(line, pattern, 0)
+    return F.when(found != "", found)
+
+
 def parse_meeting_date_range(text: Column) -> Column:
-    """Struct ``(starts_on, ends_on)`` of the first form that names two real dates, else null."""
+    """Struct ``(starts_on, ends_on)`` of the first form that names two real dates, else null.
+
+    Each form is searched once; its parts are then cut from the short match.
+    """
     line = collapse_spaces(text)
+    dated = F.when(F.rlike(line, F.lit(r"\d")), line)
+
+    def cut(pattern: str, build) -> Column:
+        # The array binds the match, so that the search is not repeated for each part.
+        bound = F.transform(F.array(_match(dated, pattern)), lambda m: F.when(
+            m.isNotNull(), build(lambda i: F.regexp_extract(m, pattern, i))
+        ))
+        return bound[0]
 
-    def part(pattern: str, index: int) -> Column:
-        return F.regexp_extract(line, pattern, index)
+    def named(start: int, end: int, month: int, year: int, century: bool = False):
+        def build(part):
+            number = _month(part(month))
+            full = F.concat(F.lit("20"), part(year)) if century else part(year)
+            # concat_ws would skip a null month, so an unknown month name must void the date itself.
+            return F.when(
+                number.isNotNull(),
+                _range(_date(full, number, part(start)), _date(full, number, part(end))),
+            )
 
-    def named(pattern: str, start: int, end: int, month: int, year: Column) -> Column:
-        number = _month(part(pattern, month))
-        # concat_ws would skip a null month, so an unknown month name must void the date itself.
-        known = number.isNotNull()
+        return build
+
+    def numeric(part):
+        return _range(_date(part(3), part(2), part(1)), _date(part(6), part(5), part(4)))
+
+    def cross_month(part):
+        first, last = _month(part(2)), _month(part(4))
         return F.when(
-            known,
-            _range(
-                _date(year, number, part(pattern, start)), _date(year, number, part(pattern, end))
-            ),
+            first.isNotNull() & last.isNotNull(),
+            _range(_date(part(5), first, part(1)), _date(part(5), last, part(3))),
         )
 
-    numeric = _range(
-        _date(part(NUMERIC_RANGE, 3), part(NUMERIC_RANGE, 2), part(NUMERIC_RANGE, 1)),
-        _date(part(NUMERIC_RANGE, 6), part(NUMERIC_RANGE, 5), part(NUMERIC_RANGE, 4)),
-    )
-    first = _month(part(CROSS_MONTH_RANGE, 2))
-    last = _month(part(CROSS_MONTH_RANGE, 4))
-    cross_month = F.when(
-        first.isNotNull() & last.isNotNull(),
-        _range(
-            _date(part(CROSS_MONTH_RANGE, 5), first, part(CROSS_MONTH_RANGE, 1)),
-            _date(part(CROSS_MONTH_RANGE, 5), last, part(CROSS_MONTH_RANGE, 3)),
-        ),
-    )
-    short_year = F.concat(F.lit("20"), part(DOCUMENT_YEAR_RANGE, 1))
     return F.coalesce(
-        numeric,
-        cross_month,
-        named(DOCUMENT_YEAR_RANGE, 3, 4, 2, short_year),
-        named(FROM_TO_RANGE, 1, 2, 3, part(FROM_TO_RANGE, 4)),
-        named(DAY_RANGE, 1, 2, 3, part(DAY_RANGE, 4)),
+        cut(NUMERIC_RANGE, numeric),
+        cut(CROSS_MONTH_RANGE, cross_month),
+        cut(DOCUMENT_YEAR_RANGE, named(3, 4, 2, 1, century=True)),
+        cut(FROM_TO_RANGE, named(1, 2, 3, 4)),
+        cut(DAY_RANGE, named(1, 2, 3, 4)),
     )

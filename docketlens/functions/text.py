@@ -73,7 +73,7 @@ def normalize_column(raw: Column) -> Column:
 def alias_pairs(aliases: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
     """Lower-cased alias -> canonical name; one alias naming two canonicals is an error."""
     pairs: dict[str, str] = {}
-    for canonical, names in (aliases or K.ORGANIZATION_ALIASES).items():
+    for canonical, names in (K.ORGANIZATION_ALIASES if aliases is None else aliases).items():
         for name in (canonical, *names):
             key = name.strip().casefold()
             if pairs.setdefault(key, canonical) != canonical:
@@ -83,18 +83,20 @@ def alias_pairs(aliases: dict[str, tuple[str, ...]] | None = None) -> dict[str,
 
 def normalize_organization(name: Column, aliases: dict[str, str] | None = None) -> Column:
     tidy = F.btrim(F.regexp_replace(name, rf"{SPACE}+", " "), F.lit(" ,;\t\n"))
-    return F.coalesce(_literal_map(aliases or alias_pairs())[F.lower(tidy)], tidy)
+    pairs = alias_pairs() if aliases is None else aliases
+    return F.coalesce(_literal_map(pairs)[F.lower(tidy)], tidy) if pairs else tidy
 
 
 def organizations(source: Column, aliases: dict[str, str] | None = None) -> Column:
     """Ordered canonical organisation names of a source field."""
-    pairs = aliases or alias_pairs()
+    pairs = alias_pairs() if aliases is None else aliases
     return F.transform(
         split_organization_sources(source), lambda n: normalize_organization(n, pairs)
     )
 
 
 def canonical_identifier(value: Column) -> Column:
+    """Lower-cased words joined by dashes; above 80 characters a prefix and the hash of the whole."""
     slug = F.regexp_replace(
         strip(F.replace(F.lower(value), F.lit("/"), F.lit(" "))), rf"{SPACE}+", "-"
     )
@@ -151,7 +153,7 @@ def cosine_similarity(left: Column, right: Column) -> Column:
 
 
 def lexical_score(query: Column, text: Column) -> Column:
-    """Score of one query against one text, for row-wise use; bulk scoring is in ``retrieval``."""
+    """Score of one query against one text, for row-wise use; bulk scoring is in ``operators.retrieval``."""
     wanted = F.array_distinct(tokenize(query))
     found = tokenize(text)
     hits = F.transform(
@@ -165,19 +167,43 @@ def lexical_score(query: Column, text: Column) -> Column:
     )
 
 
+def _float_text(value: Column) -> Column:
+    """Shortest text of a float: whole values as digits, others with a two-digit exponent if any."""
+    plain = value.cast("string")
+    mantissa = F.regexp_replace(F.regexp_extract(plain, r"^(.*)E", 1), r"\.0$", "")
+    exponent = F.regexp_extract(plain, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.replace(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("-"), F.lit(""))
+    sign = F.when(F.startswith(plain, F.lit("-")), "-").otherwise("")
+    # From 1e-4 on, a negative exponent is written out with leading zeros.
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    scientific = F.concat(mantissa, F.lit("e-"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    with_exponent = F.when(exponent >= -4, small).otherwise(scientific)
+    # A whole value below 2^63 is written as an integer; above, its exact digits fit a wide decimal.
+    whole = F.when(F.abs(value) < 9.2e18, value.cast("decimal(38,0)").cast("string")).otherwise(
+        F.coalesce(value.try_cast("decimal(38,0)").cast("string"), plain)
+    )
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(F.rint(value) == value, whole)
+        .when(F.contains(plain, F.lit("E-")), with_exponent)
+        .when(F.contains(plain, F.lit("E")), 
+              F.regexp_replace(value.cast("decimal(38,10)").cast("string"), "0+$", ""))
+        .otherwise(plain)
+    )
+
+
 def cell_text(cell: Column, kind: str) -> Column:
     """Spreadsheet cell to text for a cell of Spark type name ``kind``."""
     if kind == "boolean":
         text = F.when(cell, "TRUE").otherwise("FALSE")
     elif kind in ("double", "float"):
-        whole = cell == F.floor(cell)
-        text = F.when(whole, cell.cast("decimal(38,0)").cast("string")).otherwise(
-            cell.cast("string")
-        )
+        text = _float_text(cell.cast("double"))
     elif kind == "date":
         text = F.date_format(cell, "yyyy-MM-dd")
     elif kind == "timestamp":
-        text = F.date_format(cell, "yyyy-MM-dd'T'HH:mm:ss")
+        seconds = F.date_format(cell, "yyyy-MM-dd'T'HH:mm:ss")
+        micros = F.date_format(cell, "SSSSSS")
+        text = F.when(micros == "000000", seconds).otherwise(F.concat_ws(".", seconds, micros))
     else:
         text = strip(cell.cast("string"))
     return F.when(cell.isNull(), "").otherwise(text)
@@ -227,7 +253,9 @@ def normalize_variant(raw: Column) -> Column:
 
 
 def stem(filename: Column) -> Column:
-    return F.regexp_replace(filename, r"(?<=.)\.[^.]*$", "")
+    """File name without folders and without its last suffix."""
+    base = F.element_at(F.split(filename, "/"), -1)
+    return F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
 
 
 def document_id_of(filename: Column) -> Column:
@@ -260,9 +288,14 @@ def extraction_method(filename: Column) -> Column:
     return F.concat(F.lower(F.element_at(F.split(filename, r"\."), -1)), F.lit("_section_block"))
 
 
-def row_excerpt(*parts: Column) -> Column:
-    kept = F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != ""))
-    return F.substring(F.array_join(kept, " | "), 1, K.EXCERPT_CHARS)
+def row_evidence_text(*parts: Column) -> Column:
+    """The whole text behind a row's evidence."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), " | ")
+
+
+def excerpt(body: Column, chars: int = K.EXCERPT_CHARS) -> Column:
+    """What a listing shows of a text: its first ``chars`` code points. The text stays beside it."""
+    return F.substring(body, 1, chars)
 
 
 def paragraph_kind(text: Column, style: Column) -> Column:
@@ -280,8 +313,10 @@ def paragraph_kind(text: Column, style: Column) -> Column:
 
 
 def heading_level(style: Column) -> Column:
-    digits = F.regexp_extract(style, r"(?:^|\s)(\d+)(?:\s+\D\S*)*\s*$", 1)
-    return F.greatest(F.lit(1), F.coalesce(digits.try_cast("int"), F.lit(1)))
+    """The last word of the style that is all digits, at least 1."""
+    numbers = F.filter(F.split(style, r"\s+"), lambda w: F.rlike(w, F.lit(r"^\d+$")))
+    last = F.try_element_at(numbers, F.lit(-1)).try_cast("int")
+    return F.greatest(F.lit(1), F.coalesce(last, F.lit(1)))
 
 
 def group_type(kind: Column) -> Column:

@@ -1,8 +1,8 @@
 """Evidence blocks, retrieval chunks and section trees.
 
 Greedy packing depends on order, so it is one fold over a document's own block array. The fold
-only records where each group starts; texts are then sliced and joined. Nothing is shuffled
-between source blocks and chunks.
+only records where each group starts; texts are then sliced and joined. Each fold stands behind a
+generator, so it is evaluated once. Nothing is shuffled between source blocks and chunks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
@@ -40,6 +41,12 @@ def _slices(items: str, starts: str) -> Column:
     )
 
 
+def _fenced(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``keep`` and ``columns`` behind a generator, so that the optimiser cannot copy a fold into
+    every place that reads its result."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _append_if(opened: Column, starts: Column, pos: Column) -> Column:
     return F.when(opened, F.concat(starts, F.array(pos))).otherwise(starts)
 
@@ -105,11 +112,13 @@ def coalesce_blocks(documents: DataFrame, limits: BlockLimits = BlockLimits()) -
             F.when(kind == "table_row", own[0]["table_row"]).alias("table_row"),
         )
 
-    staged = (
-        documents.withColumn("_items", cut)
-        .withColumn("_starts", F.aggregate("_items", start, step, lambda s: s["starts"]))
-        .withColumn("_packed", F.transform(_slices("_items", "_starts"), pack))
+    keep = [c for c in documents.columns if c != "blocks"]
+    items = _fenced(documents, keep, {"_items": cut})
+    cuts = _fenced(
+        items, [*keep, "_items"],
+        {"_starts": F.aggregate("_items", start, step, lambda s: s["starts"])},
     )
+    staged = _fenced(cuts, keep, {"_packed": F.transform(_slices("_items", "_starts"), pack)})
     identified = F.transform(
         "_packed",
         lambda b, i: F.struct(
@@ -120,8 +129,7 @@ def coalesce_blocks(documents: DataFrame, limits: BlockLimits = BlockLimits()) -
             b["section_path"].alias("section_path"), b["table_row"].alias("table_row"),
         ),
     )
-    keep = [c for c in documents.columns if c != "blocks"]
-    return staged.select(*keep, identified.alias("blocks"))
+    return _fenced(staged, keep, {"blocks": identified})
 
 
 def explode_blocks(documents: DataFrame) -> DataFrame:
@@ -192,17 +200,19 @@ def build_chunks(documents: DataFrame, limits: ChunkLimits = ChunkLimits()) -> D
             ),
         )
 
-    chunks = F.transform(
-        _slices("_items", "_starts"),
-        lambda g: F.when(
-            text.tokens_of_words(g[0]["words"]) > limits.max_tokens, parts(g[0])
-        ).otherwise(whole(g)),
-    )
+    def cut_group(g: Column) -> Column:
+        oversized = text.tokens_of_words(g[0]["words"]) > limits.max_tokens
+        return F.when(oversized, parts(g[0])).otherwise(whole(g))
+
     keep = [c for c in documents.columns if c != "blocks"]
+    listed = _fenced(documents, keep, {"_items": items})
+    cuts = _fenced(
+        listed, [*keep, "_items"],
+        {"_starts": F.aggregate("_items", start, step, lambda s: s["starts"])},
+    )
+    groups = _fenced(cuts, keep, {"_groups": _slices("_items", "_starts")})
     staged = (
-        documents.withColumn("_items", items)
-        .withColumn("_starts", F.aggregate("_items", start, step, lambda s: s["starts"]))
-        .select(*keep, F.flatten(chunks).alias("_chunks"))
+        groups.select(*keep, F.flatten(F.transform("_groups", cut_group)).alias("_chunks"))
         .select(*keep, F.posexplode("_chunks").alias("chunk_index", "c"))
     )
     return staged.select(
@@ -250,35 +260,47 @@ def section_tree(blocks: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n"),
         )
     )
+    own = F.col("depth") == F.size("path")
+    # A section counts once for its parent; the root's parent row (depth -1) is left out.
     prefixes = leaves.select(
         "document_id", "path", "lo", "hi", "n",
         F.explode(F.sequence(F.lit(0), F.size("path"))).alias("depth"),
     ).select(
         "document_id", F.slice("path", F.lit(1), F.col("depth")).alias("path"), "depth", "lo",
-        "hi", "n", F.when(F.col("depth") == F.size("path"), F.col("n")).otherwise(0).alias("own"),
-    )
-    sections = prefixes.groupBy("document_id", "path", "depth").agg(
-        F.min("lo").alias("start_block_index"), F.max("hi").alias("end_block_index"),
-        F.sum("own").alias("direct_block_count"), F.sum("n").alias("descendant_block_count"),
+        "hi", "n", F.when(own, F.col("n")).otherwise(0).alias("own"),
+    ).groupBy("document_id", "path", "depth").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("own").alias("own"), F.sum("n").alias("n"),
     )
     parent = F.slice("path", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0)))
-    children = (
-        sections.filter(F.col("depth") > 0)
-        .groupBy("document_id", parent.alias("path"))
-        .agg(F.count(F.lit(1)).alias("child_count"))
+    itself = F.struct(
+        F.col("path"), F.col("depth"), F.col("lo"), F.col("hi"), F.col("own"), F.col("n"),
+        F.lit(0).cast("bigint").alias("children"),
     )
-    title = F.when(F.col("depth") == 0, F.lit("Document")).otherwise(F.element_at("path", -1))
-    named = sections.join(children, ["document_id", "path"], "left").withColumn(
-        "title", F.when(F.col("depth") == 0, F.lit("Document")).otherwise(
-            F.try_element_at("path", F.lit(-1))
+    nothing = F.lit(None).cast("int")
+    for_parent = F.struct(
+        parent.alias("path"), (F.col("depth") - 1).alias("depth"), nothing.alias("lo"),
+        nothing.alias("hi"), F.lit(0).cast("bigint").alias("own"), F.lit(0).cast("bigint").alias("n"),
+        F.lit(1).cast("bigint").alias("children"),
+    )
+    named = (
+        prefixes.select("document_id", F.explode(F.array(itself, for_parent)).alias("s"))
+        .select("document_id", "s.*").filter(F.col("depth") >= 0)
+        .groupBy("document_id", "path", "depth")
+        .agg(
+            F.min("lo").alias("start_block_index"), F.max("hi").alias("end_block_index"),
+            F.sum("own").alias("direct_block_count"), F.sum("n").alias("descendant_block_count"),
+            F.sum("children").alias("child_count"),
         )
+        .withColumn("title", F.when(F.col("depth") == 0, F.lit("Document")).otherwise(
+            F.try_element_at("path", F.lit(-1))
+        ))
     )
     return named.select(
         ids.section_id(F.col("document_id"), F.col("path")).alias("id"),
         F.when(F.col("depth") > 0, ids.section_id(F.col("document_id"), parent)).alias("parent_id"),
         "document_id", "title", F.col("path").alias("section_path"), "depth",
         "start_block_index", "end_block_index", "direct_block_count", "descendant_block_count",
-        F.coalesce("child_count", F.lit(0).cast("bigint")).alias("child_count"),
+        "child_count",
         text.page_number(F.col("title")).alias("page_number"),
     )
 
@@ -289,16 +311,12 @@ SECTION_ORDER = ("start_block_index", "depth", "section_path")
 def page_of_blocks(blocks: DataFrame, start: int, limit: int) -> DataFrame:
     """One page of every document's blocks with the completeness of that page.
 
-    Block indexes are dense, so a page is a range and the document's extent tells what is left.
+    Block indexes are dense, so a page is a range; one row of look-ahead tells whether more follow.
     """
-    extent = blocks.groupBy("document_id").agg(F.max("block_index").alias("last_index"))
-    page = blocks.filter(
-        (F.col("block_index") >= start) & (F.col("block_index") < start + limit)
-    )
-    more = F.col("last_index") >= start + limit
+    ahead = blocks.filter(F.col("block_index").between(start, start + limit))
+    more = F.max("block_index").over(W.partitionBy("document_id")) >= start + limit
     return (
-        page.join(extent, "document_id")
-        .withColumn("completeness", F.when(more, "partial").otherwise("complete"))
-        .withColumn("next_start", F.when(more, F.lit(start + limit)))
-        .drop("last_index")
+        ahead.withColumn("completeness", F.when(more, "partial").otherwise("complete"))
+        .withColumn("next_start", F.when(F.col("completeness") == "partial", F.lit(start + limit)))
+        .filter(F.col("block_index") < start + limit)
     )

@@ -1,13 +1,13 @@
 """Decoded text, styled paragraphs, sheets and slides as block arrays, one row per document.
 
 A document's blocks travel as one array column, so cutting, coalescing and chunking run inside the
-row without a shuffle. The parser's own ceiling (``max_blocks``) bounds that array: documents
-above it are refused with a reason, as the ingestion rules demand, and listed by ``over_ceiling``.
+row without a shuffle. No document is refused for its size; ``large_documents`` reports the large ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -26,13 +26,28 @@ def block_struct(kind: Column, body: Column, path: Column, row: Column | None =
     )
 
 
+# --- fixed values: Windows-1252 characters of the bytes 0x80 to 0x9F; five bytes have none ---------
+_CP1252 = {
+    0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰",
+    0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•",
+    0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
+}
+_CP1252_UNDEFINED = "[\x81\x8D\x8F\x90\x9D]"
+
+
 def decode_bytes(content: Column) -> Column:
-    """UTF-8 with an optional byte-order mark, else Windows-1252; NUL bytes make it binary (null)."""
+    """UTF-8 with an optional byte-order mark, else Windows-1252; null for what is not text.
+
+    Null stands for binary content (a NUL byte) and for bytes that neither encoding defines.
+    """
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    plain = F.regexp_replace(
-        F.coalesce(utf8, F.decode(content, "windows-1252")), "^\\x{FEFF}", ""
+    latin = F.decode(content, "ISO-8859-1")
+    western = F.when(
+        ~F.rlike(latin, F.lit(_CP1252_UNDEFINED)),
+        F.translate(latin, "".join(map(chr, _CP1252)), "".join(_CP1252.values())),
     )
-    return F.when(F.contains(F.hex(content), F.lit("00")) & F.rlike(plain, F.lit("\\x00")), None).otherwise(plain)
+    plain = F.regexp_replace(F.coalesce(utf8, western), "^\\x{FEFF}", "")
+    return F.when(F.rlike(plain, F.lit("\\x00")), None).otherwise(plain)
 
 
 def lines(body: Column) -> Column:
@@ -64,16 +79,13 @@ def text_blocks(documents: DataFrame, document_id: Column, body: Column) -> Data
 
 
 def gather(
-    rows: DataFrame, order: list[str], fields: dict[str, Column], max_rows: int,
-    key: str = "document_id",
+    rows: DataFrame, order: list[str], fields: dict[str, Column], key: str = "document_id",
 ) -> DataFrame:
-    """Long rows to one ordered array per key; keys above ``max_rows`` are refused beforehand."""
-    refused = over_ceiling(rows, max_rows, key).select(key)
+    """Long rows to one ordered array per key."""
     packed = F.struct(*[F.col(c) for c in order], *[v.alias(n) for n, v in fields.items()])
     names = list(fields)
     return (
-        rows.join(refused, key, "left_anti")
-        .groupBy(key)
+        rows.groupBy(key)
         .agg(F.sort_array(F.collect_list(packed)).alias("_rows"))
         .select(
             key,
@@ -84,24 +96,16 @@ def gather(
     )
 
 
-def over_ceiling(
-    rows: DataFrame, max_rows: int = K.MAX_DOCUMENT_BLOCKS, key: str = "document_id"
-) -> DataFrame:
-    """Keys with more rows than the parser accepts, with the refusal text."""
+def large_documents(rows: DataFrame, elements: int, key: str = "document_id") -> DataFrame:
+    """A report of keys with more than ``elements`` rows; nothing is removed by it."""
     return (
         rows.groupBy(key)
         .agg(F.count(F.lit(1)).alias("elements"))
-        .filter(F.col("elements") > max_rows)
-        .withColumn(
-            "parse_error",
-            F.format_string(
-                f"document has %d source elements; limit is {max_rows}", F.col("elements")
-            ),
-        )
+        .filter(F.col("elements") > elements)
     )
 
 
-def page_blocks(pages: DataFrame, max_blocks: int = K.MAX_DOCUMENT_BLOCKS) -> DataFrame:
+def page_blocks(pages: DataFrame) -> DataFrame:
     """``(document_id, page, text)`` rows to paragraph blocks under a ``Page n`` section."""
     per_page = pages.select(
         "document_id", "page", F.posexplode(paragraphs(F.col("text"))).alias("pos", "para")
@@ -112,7 +116,7 @@ def page_blocks(pages: DataFrame, max_blocks: int = K.MAX_DOCUMENT_BLOCKS) -> Da
         "section_path": F.array(F.concat(F.lit("Page "), F.col("page").cast("string"))),
         "table_row": F.lit(None).cast("int"),
     }
-    return gather(per_page, ["page", "pos"], fields, max_blocks)
+    return gather(per_page, ["page", "pos"], fields)
 
 
 def styled_blocks(documents: DataFrame) -> DataFrame:
@@ -207,22 +211,19 @@ def sheet_rows(grid: DataFrame) -> DataFrame:
     )
 
 
-def sheet_blocks(
-    grid: DataFrame, max_rows: int = K.MAX_WORKBOOK_ROWS, max_blocks: int = K.MAX_DOCUMENT_BLOCKS
-) -> DataFrame:
-    """Sheet rows to table-row blocks; workbooks above the row or block limit are refused."""
-    refused = over_ceiling(grid, max_rows).select("document_id")
-    rows = sheet_rows(grid.join(refused, "document_id", "left_anti"))
+def sheet_blocks(grid: DataFrame) -> DataFrame:
+    """Visible, public sheet rows to table-row blocks."""
+    rows = sheet_rows(grid)
     fields = {
         "kind": F.lit("table_row"),
         "text": F.col("text"),
         "section_path": F.array("sheet"),
         "table_row": F.col("row_no").cast("int"),
     }
-    return gather(rows, ["sheet_no", "row_no"], fields, max_blocks)
+    return gather(rows, ["sheet_no", "row_no"], fields)
 
 
-def slide_blocks(shapes: DataFrame, max_blocks: int = K.MAX_DOCUMENT_BLOCKS) -> DataFrame:
+def slide_blocks(shapes: DataFrame) -> DataFrame:
     """Slide text to blocks.
 
     Input rows: ``document_id, slide, shape, para, is_title, is_list, text`` with ``cells`` for
@@ -235,10 +236,9 @@ def slide_blocks(shapes: DataFrame, max_blocks: int = K.MAX_DOCUMENT_BLOCKS) ->
     rows = shapes.withColumn("text", body).filter(F.col("text") != "")
     spoken = F.col("cells").isNull()
     place = F.struct("shape", "para")
-    titles = (
-        rows.filter(spoken)
-        .groupBy("document_id", "slide")
-        .agg(F.min(F.struct(place.alias("place"), F.col("text"))).alias("title"))
+    slide = W.partitionBy("document_id", "slide")
+    titled = rows.withColumn(
+        "title", F.min(F.when(spoken, F.struct(place.alias("place"), F.col("text")))).over(slide)
     )
     label = F.concat(F.lit("Slide "), F.col("slide").cast("string"))
     is_title = spoken & (place == F.col("title.place"))
@@ -251,14 +251,13 @@ def slide_blocks(shapes: DataFrame, max_blocks: int = K.MAX_DOCUMENT_BLOCKS) ->
         .when(F.col("is_list"), "list_item")
         .otherwise(text.paragraph_kind(F.col("text"), F.lit("")))
     )
-    joined = rows.join(titles, ["document_id", "slide"], "left")
     fields = {
         "kind": kind,
         "text": F.col("text"),
         "section_path": path,
         "table_row": F.when(F.col("cells").isNotNull(), F.col("para")).cast("int"),
     }
-    return gather(joined, ["slide", "shape", "para"], fields, max_blocks)
+    return gather(titled, ["slide", "shape", "para"], fields)
 
 
 def usable_members(members: DataFrame) -> DataFrame:
@@ -275,10 +274,10 @@ def usable_members(members: DataFrame) -> DataFrame:
     )
 
 
-def merge_members(member_blocks: DataFrame, max_members: int = K.MAX_ARCHIVE_MEMBERS) -> DataFrame:
+def merge_members(member_blocks: DataFrame) -> DataFrame:
     """Concatenate the members' block arrays in archive order: ``(document_id, member_no, blocks)``."""
     fields = {"member_blocks": F.col("blocks")}
-    packed = gather(member_blocks, ["member_no"], fields, max_members)
+    packed = gather(member_blocks, ["member_no"], fields)
     return packed.select(
         "document_id",
         F.flatten(F.transform("blocks", lambda m: m["member_blocks"])).alias("blocks"),
