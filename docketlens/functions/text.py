@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -95,6 +95,24 @@ def organizations(source: Column, aliases: dict[str, str] | None = None) -> Colu
     )
 
 
+def alias_conflicts(aliases: DataFrame) -> DataFrame:
+    """Aliases of an ``(alias, canonical)`` table that name more than one organisation."""
+    return (
+        aliases.groupBy(F.lower(strip(F.col("alias"))).alias("alias"))
+        .agg(F.count_distinct("canonical").alias("canonicals")).filter(F.col("canonicals") > 1)
+    )
+
+
+def with_canonical_names(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """``rows`` with ``canonical`` from an alias table; names without an alias stay as they are."""
+    tidy = F.btrim(F.regexp_replace(F.col(column), rf"{SPACE}+", " "), F.lit(" ,;\t\n"))
+    known = aliases.select(F.lower(strip(F.col("alias"))).alias("_alias"), "canonical")
+    return (
+        rows.withColumn("_tidy", tidy).join(known, F.lower("_tidy") == F.col("_alias"), "left")
+        .withColumn("canonical", F.coalesce("canonical", "_tidy")).drop("_tidy", "_alias")
+    )
+
+
 def canonical_identifier(value: Column) -> Column:
     """Lower-cased words joined by dashes; above 80 characters a prefix and the hash of the whole."""
     slug = F.regexp_replace(

@@ -1 +1 @@
-
+"""Domain tables, queries over them and the SQL that checks the queries."""
