@@ -46,7 +46,7 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     # A phrase of one or two tokens can also lie inside longer tokens of a text without any hit.
     short = wanted.filter(F.col("n") <= 2).select("query_id", "phrase")
     inside = (
-        chunks.filter(F.size(text.tokenize(F.col("text"))) > 0).select("id", F.lower("text").alias("low"))
+        chunks.filter(F.rlike("text", F.lit("[A-Za-z0-9]"))).select("id", F.lower("text").alias("low"))
         .join(short, F.contains(F.col("low"), F.col("phrase"))).select("query_id", "id")
     )
     phrases = exact.unionByName(inside).distinct().withColumn("bonus", F.lit(1.0))

@@ -702,9 +702,11 @@ def _(spark, sf):
     return retrieval.ranked(both, 10).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-_HYBRID = f"""{_LEXICAL}, {_VECTOR.replace('vec_id % 100 = 0', 'vec_id IN (SELECT item_id FROM benchmark)')},
-  f AS (SELECT query_id, id, 1.0 / (60 + rank) AS p FROM lr UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM vr
-    WHERE id IN (SELECT doc_id FROM documents)),
+_HYBRID_VECTOR = _VECTOR.replace("vec_id % 100 = 0", "vec_id IN (SELECT item_id FROM benchmark)").replace(
+    "FROM embeddings),\n  vs", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),\n  vs"
+)
+_HYBRID = f"""{_LEXICAL}, {_HYBRID_VECTOR},
+  f AS (SELECT query_id, id, 1.0 / (60 + rank) AS p FROM lr UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM vr),
   s AS (SELECT query_id, id, sum(p) AS score FROM f GROUP BY query_id, id)"""
 
 
@@ -1292,7 +1294,8 @@ def _(spark, sf):
 
 @query("stream_counts", None)
 def _(spark, sf):
-    counts = arrivals.counts_per_window(event_stream(spark, sf), "1 hour", "0 seconds", "event_type")
+    timed = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = arrivals.counts_per_window(timed, "1 hour", "0 seconds", "event_type")
     return arrivals.finished(counts, spark, "stream-counts")
 
 
