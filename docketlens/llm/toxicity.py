@@ -235,7 +235,10 @@ class Distance:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
-    """Weights (with a ridge of 1) and offset, shifted so that the best F1 cut has ``threshold``."""
+    """Weights (with a ridge of 1) and offset, shifted so that the best F1 cut has ``threshold``.
+
+    A cut must be right more often than not; without such a cut the plain probability stays.
+    """
     scale = np.maximum(x.std(axis=0), 1e-9)
     design = np.column_stack([x / scale, np.ones(len(x))])
     ridge = np.diag([1.0] * x.shape[1] + [1e-6])
@@ -254,7 +257,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.nda
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     # Only the last of equal logits is a possible cut.
     f1[:-1][logit[order][:-1] == logit[order][1:]] = -1
+    f1[2 * hits <= np.arange(1, len(y) + 1)] = -1
     best = int(f1.argmax())
+    if f1[best] < 0:
+        return w[:-1] / scale, float(w[-1])
     below = logit[order][best + 1] if best + 1 < len(y) else logit[order][best] - 1.0
     cut = (logit[order][best] + below) / 2
     return w[:-1] / scale, float(w[-1] - cut + math.log(threshold / (1 - threshold)))
