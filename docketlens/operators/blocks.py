@@ -320,3 +320,13 @@ def page_of_blocks(blocks: DataFrame, start: int, limit: int) -> DataFrame:
         .withColumn("next_start", F.when(F.col("completeness") == "partial", F.lit(start + limit)))
         .filter(F.col("block_index") < start + limit)
     )
+
+
+def page_of_sections(tree: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One page of every document's sections in tree order with ``has_more``."""
+    order = W.partitionBy("document_id").orderBy("start_block_index", "depth", F.array_join("section_path", "/"))
+    ahead = tree.withColumn("_place", F.row_number().over(order)).filter(
+        F.col("_place").between(offset + 1, offset + limit + 1)
+    )
+    more = F.max("_place").over(W.partitionBy("document_id")) > offset + limit
+    return ahead.withColumn("has_more", more).filter(F.col("_place") <= offset + limit).drop("_place")

@@ -231,3 +231,40 @@ def scope_edges(found: DataFrame, meetings: DataFrame) -> DataFrame:
         ids.view_edge_id(source, F.col("predicate"), target).alias("id"), source.alias("source"),
         target.alias("target"), F.col("predicate").alias("type"),
     )
+
+
+def highlighted(view_edges: DataFrame, chain: DataFrame) -> DataFrame:
+    """View edges with ``highlighted`` for revisions along the longest chain ``(position, id)``."""
+    key = F.concat(F.lit("tdoc:"), "id")
+    after = chain.select(key.alias("source"), F.col("position").alias("_later"))
+    before = chain.select(key.alias("target"), F.col("position").alias("_earlier"))
+    on_chain = (F.col("type") == "revises") & F.col("_later").isNotNull() & F.col("_earlier").isNotNull()
+    return (
+        view_edges.join(after, "source", "left").join(before, "target", "left")
+        .withColumn("highlighted", on_chain).drop("_later", "_earlier")
+    )
+
+
+def dated(all_edges: DataFrame, documents: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Edges with ``valid_at``, the end of the meeting that states them."""
+    ends = meetings.select(F.col("id").alias("meeting_id"), "ends_on")
+    of_document = documents.select(F.col("id").alias("source_id"), "meeting_id").join(ends, "meeting_id", "left")
+    by_document = of_document.select("source_id", F.col("ends_on").alias("valid_at"))
+    by_meeting = ends.select(F.col("meeting_id").alias("source_id"), F.col("ends_on").alias("valid_at"))
+    stated = by_document.withColumn("source_type", F.lit("tdoc")).unionByName(
+        by_meeting.withColumn("source_type", F.lit("meeting"))
+    )
+    return all_edges.join(stated, ["source_type", "source_id"], "left")
+
+
+def validated(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
+    """One row of graph counts and faults; a valid graph has no fault and is not empty."""
+    faults = orphans(all_edges, all_nodes).agg(F.count(F.lit(1)).alias("n"))
+    parts = {"nodes": all_nodes.agg(F.count(F.lit(1)).alias("n")),
+             "edges": all_edges.agg(F.count(F.lit(1)).alias("n")), "faults": faults}
+    rows = None
+    for name, one in parts.items():
+        named = one.select(F.lit(name).alias("what"), "n")
+        rows = named if rows is None else rows.unionByName(named)
+    counts = rows.agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in parts])
+    return counts.withColumn("valid", (F.col("nodes") > 0) & (F.col("edges") > 0) & (F.col("faults") == 0))

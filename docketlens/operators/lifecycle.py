@@ -223,3 +223,47 @@ def guarded_members(members: DataFrame) -> DataFrame:
         .when(F.endswith(name, F.lit("vbaproject.bin")) | F.rlike(name, F.lit(r"\.(?:docm|xlsm|pptm)$")), "macros")
     )
     return members.withColumn("reason", reason)
+
+
+def routed(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """Parse status per document from its guarded members and its text.
+
+    ``documents``: ``document_id, supported, text``; ``members``: ``document_id, reason``. An unsafe
+    archive is ``quarantined``, an unsupported file ``not_applicable``, a text without words ``failed``.
+    """
+    unsafe = members.filter("reason is not null").groupBy("document_id").agg(F.min("reason").alias("reason"))
+    joined = documents.join(unsafe, "document_id", "left")
+    empty = text.word_count(F.coalesce("text", F.lit(""))) == 0
+    status = (
+        F.when(F.col("reason").isNotNull(), "quarantined").when(~F.col("supported"), "not_applicable")
+        .when(empty, "failed").otherwise("parsed")
+    )
+    return joined.select(
+        "document_id", status.alias("parse_status"),
+        F.when(status == "failed", "document has no text").otherwise(F.col("reason")).alias("parse_error"),
+    )
+
+
+def created(versions: DataFrame, version: str) -> DataFrame:
+    """Versions with ``version`` added as ``building``; an active version cannot be opened again."""
+    same = versions.filter(F.col("id") == version).select("is_active").head(1)
+    if same and same[0]["is_active"]:
+        raise ValueError(f"dataset version {version} is active and cannot change")
+    row = versions.sparkSession.range(1).select(
+        F.lit(version).alias("id"), F.lit("building").alias("state"), F.lit(False).alias("is_active")
+    )
+    return versions.select("id", "state", "is_active").filter(F.col("id") != version).unionByName(row)
+
+
+def not_yet_stored(entries: DataFrame, stored: DataFrame) -> DataFrame:
+    """Manifest entries to fetch: not downloaded, or downloaded but not in the store."""
+    have = stored.select("sha256", F.lit(True).alias("_have")).distinct()
+    joined = entries.join(have, "sha256", "left")
+    done = (F.col("status") == "downloaded") & F.coalesce("_have", F.lit(False))
+    return joined.filter(~F.coalesce(done, F.lit(False))).drop("_have")
+
+
+def first_dates(rows: DataFrame, found: Column) -> DataFrame:
+    """Per meeting the dates of its first dated text; rows carry ``meeting_id`` and ``place``."""
+    dated = rows.select("meeting_id", "place", found.alias("d")).filter("d is not null")
+    return dated.groupBy("meeting_id").agg(F.min_by("d", "place").alias("d")).select("meeting_id", "d.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import cut_lineage
+from ..session import cut_lineage, map_in_arrow
 
 DECIMALS = 9
 
@@ -115,8 +115,8 @@ def _block_scores(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
                 )
 
     kinds = (queries.schema["query_id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString())
-    return chunks.filter(F.col("embedding").isNotNull()).select("id", "embedding").mapInArrow(
-        run, f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    return chunks.filter(F.col("embedding").isNotNull()).select("id", "embedding").transform(
+        map_in_arrow, run, f"query_id {kinds[0]}, id {kinds[1]}, score double"
     )
 
 
@@ -209,7 +209,7 @@ def ranks_among(candidates: DataFrame, scores: DataFrame) -> DataFrame:
         yield found.rows()
 
     schema = _kinds(scores, "query_id", "id") + ", before long"
-    return _summed(scores.select("query_id", "id", "score").mapInArrow(run, schema))
+    return _summed(scores.select("query_id", "id", "score").transform(map_in_arrow, run, schema))
 
 
 def vector_ranks_among(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def vector_ranks_among(candidates: DataFrame, queries: DataFrame, chunks: DataFr
 
     schema = f"{_kinds(queries, 'query_id')}, {_kinds(chunks, 'id')}, before long"
     present = chunks.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    return _summed(present.mapInArrow(run, schema))
+    return _summed(present.transform(map_in_arrow, run, schema))
 
 
 def _similarities(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def _similarities(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> Da
     joined = pairs.join(asked, "query_id").join(
         chunks.select("id", "embedding").filter("embedding is not null"), "id"
     ).select("query_id", "id", "asked", "embedding")
-    return joined.mapInArrow(run, _kinds(joined, "query_id", "id") + ", score double")
+    return joined.transform(map_in_arrow, run, _kinds(joined, "query_id", "id") + ", score double")
 
 
 def search_depth(k: int, weights: tuple[float, float], rrf_k: int, spread: float) -> int:
@@ -364,3 +364,15 @@ def reranked(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     return checked.select("query_id", "id", "position", "score", valid.alias("valid")).withColumn(
         "rank", F.row_number().over(order)
     )
+
+
+def with_evidence(passages: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Passages with their evidence ids in order, and the query's confidence (its best score, at most 1).
+
+    ``evidence``: ``id, position, evidence_id``.
+    """
+    listed = evidence.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("position", "evidence_id"))).alias("e")
+    ).select("id", F.array_distinct(F.transform("e", lambda x: x["evidence_id"])).alias("evidence_ids"))
+    best = F.least(F.max("score").over(W.partitionBy("query_id")), F.lit(1.0))
+    return passages.withColumn("confidence", best).join(listed, "id", "left")

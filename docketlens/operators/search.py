@@ -212,3 +212,26 @@ def most_common(values: DataFrame, keys: list[str], column: str, limit: int) ->
         counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
         .drop("first")
     )
+
+
+def grouped_decisions(documents: DataFrame) -> DataFrame:
+    """Decided documents per meeting and status, in order of ``seq``."""
+    return documents.filter(decisions()).groupBy("meeting_id", "status").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "id"))).alias("_rows")
+    ).select("meeting_id", "status", F.transform("_rows", lambda r: r["id"]).alias("ids"))
+
+
+def ordered_evidence(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Distinct ``evidence_id`` values per key, each at its first place."""
+    first = rows.groupBy(key, "evidence_id").agg(F.min(order).alias("_first"))
+    return first.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_first", "evidence_id"))).alias("_rows")
+    ).select(key, F.transform("_rows", lambda r: r["evidence_id"]).alias("evidence_ids"))
+
+
+def traced(documents: DataFrame, meetings: DataFrame, columns: list[str], topic: str) -> DataFrame:
+    """Per meeting the number of documents on a topic: ``id, ends_on, n``."""
+    hits = documents.filter(with_text(columns, topic)).groupBy(F.col("meeting_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return meetings.select("id", "ends_on").join(hits, "id")

@@ -921,7 +921,7 @@ def _(spark, sf):
 
 
 @query("listing_usable", rf"""WITH {_HREFS} SELECT page_id, target, lower(regexp_extract(target, '^https?://([^/?#:]+)', 1)) AS host
-  FROM l WHERE starts_with(target, 'https://') AND NOT regexp_matches(href, '[?#]|(?i)^javascript:')""")
+  FROM l WHERE starts_with(target, 'https://') AND NOT regexp_matches(href, '^\s*(?:[?#]|javascript:)')""")
 def _(spark, sf):
     return listings.usable_links(listings.links(read(spark, sf, "pages"))).select("page_id", "target", "host")
 

@@ -34,28 +34,57 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def usable_links(found: DataFrame, hosts: tuple[str, ...] = ()) -> DataFrame:
-    """Links without query, fragment or script, on https and an allowed host."""
+    """Links to https pages on an allowed host; anchors that start as query, fragment or script go."""
     host = F.lower(F.regexp_extract("target", r"^https?://([^/?#:]+)", 1))
-    keep = F.startswith("target", F.lit("https://")) & ~F.rlike("href", F.lit(r"[?#]|(?i)^javascript:"))
+    keep = F.startswith("target", F.lit("https://")) & ~F.rlike("href", F.lit(r"^\s*(?:[?#]|javascript:)"))
     if hosts:
         keep = keep & host.isin(*hosts)
     return found.filter(keep).withColumn("host", host)
 
 
 def last_segment(url: Column) -> Column:
-    return F.element_at(F.split(F.rtrim(F.regexp_replace(url, r"[?#].*$", ""), F.lit("/")), "/"), -1)
+    """Last path segment with percent escapes decoded; a plus sign stays."""
+    raw = F.element_at(F.split(F.rtrim(F.regexp_replace(url, r"[?#].*$", ""), F.lit("/")), "/"), -1)
+    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
 
 
-def artifact_kind(name: Column, role: Column) -> Column:
-    """Kind of a listed file by name patterns in order, and by the directory's role."""
-    low = F.lower(name)
-    return (
-        F.when(F.contains(low, F.lit("agenda")), "agenda")
-        .when(F.rlike(low, F.lit("tdoc_?list")), "tdoc_list")
-        .when(F.rlike(low, F.lit(r"^[a-z]\d-\d+")), F.when(role == "reports", "report").otherwise("tdoc"))
-        .when(F.contains(low, F.lit("report")) | (role == "reports"), "report")
-        .otherwise("other")
+def listed_meetings(found: DataFrame, pattern: str, group: str) -> DataFrame:
+    """Meetings named by listing links ``(position, target)``.
+
+    ``pattern`` must match the whole last segment; its first group is the number and a second one, if
+    any, the variant. The last link of a meeting wins.
+    """
+    name = last_segment(F.col("target"))
+    two = pattern.count("(") - pattern.count("(?:") > 1
+    whole = f"^(?:{pattern})$"
+    variant = text.normalize_variant(F.regexp_extract("name", whole, 2)) if two else F.lit("")
+    rows = found.withColumn("name", name).filter(F.rlike("name", F.lit(whole))).select(
+        "position", F.col("target"), F.col("name").alias("source_name"),
+        F.regexp_extract("name", whole, 1).cast("int").alias("number"), variant.alias("variant"),
     )
+    tail = F.when(F.col("variant") != "", F.concat(F.lit("-"), "variant")).otherwise("")
+    named = rows.withColumn("id", F.concat(F.lit(f"{group}-"), "number", tail))
+    return named.groupBy("id", "number", "variant").agg(
+        F.max_by(F.struct("target", "source_name"), F.struct("position", "target")).alias("l")
+    ).select("id", F.lit(group).alias("working_group_id"), "number", "variant",
+             F.concat(F.rtrim("l.target", F.lit("/")), F.lit("/")).alias("url"), "l.source_name")
+
+
+#: Name patterns of a group's files, tried in this order; groups bring their own.
+FILE_PATTERNS = {
+    "agenda": r"(?i)agenda", "tdoc_list": r"(?i)tdoc_?list", "tdoc": r"(?i)^[a-z]\d-\d+", "report": r"(?i)report",
+}
+
+
+def artifact_kind(name: Column, role: Column, patterns: dict[str, str] | None = None) -> Column:
+    """Kind of a listed file by name patterns in order, and by the directory's role."""
+    kind = F.when(F.lit(False), "")
+    for label, pattern in (FILE_PATTERNS if patterns is None else patterns).items():
+        found = F.rlike(name, F.lit(pattern))
+        if label == "tdoc":
+            kind = kind.when(found & (role == "reports"), "report")
+        kind = kind.when(found, label)
+    return kind.when(role == "reports", "report").otherwise("other")
 
 
 def listed_artifacts(found: DataFrame) -> DataFrame:
@@ -120,3 +149,42 @@ def verified(artifacts: DataFrame, contents: DataFrame) -> DataFrame:
     return artifacts.join(contents, "object_key", "left").select(
         "object_key", "sha256", F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False)).alias("intact")
     )
+
+
+def not_downloaded(manifests: DataFrame) -> DataFrame:
+    """Artifacts of manifests that have not arrived; a manifest with any must not be ingested."""
+    return manifest_entries(manifests).filter(~F.coalesce(F.col("status") == "downloaded", F.lit(False)))
+
+
+def selected_meetings(manifests: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """Meetings of ``(selected array, meetings map)``: the selection, else all; ``wanted`` regardless of case."""
+    names = F.when(F.size(F.coalesce("selected", F.expr("cast(array() as array<string>)"))) > 0, F.col("selected"))
+    each = manifests.select(F.explode(F.coalesce(names, F.map_keys("meetings"))).alias("meeting_id"))
+    if wanted:
+        each = each.filter(F.lower("meeting_id").isin(*[w.lower() for w in wanted]))
+    return each.distinct()
+
+
+def validated_sources(pages: DataFrame, roles: DataFrame, found: DataFrame) -> DataFrame:
+    """Per listing page: roles with a directory, files found and whether the page passes.
+
+    ``found`` are ``listed_artifacts`` of the pages.
+    """
+    present = roles_present(directory_names(pages), roles).groupBy("page_id").agg(
+        F.count_distinct("role").alias("roles")
+    )
+    files = found.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("artifacts"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds")
+    )
+    zero = F.lit(0).cast("long")
+    return pages.select("page_id").join(present, "page_id", "left").join(files, "page_id", "left").select(
+        "page_id", F.coalesce("roles", zero).alias("roles"), F.coalesce("artifacts", zero).alias("artifacts"),
+        F.coalesce("kinds", F.lit("")).alias("kinds"), (F.coalesce("artifacts", zero) > 0).alias("passed"),
+    )
+
+
+def wide_records(cells: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Header-keyed cells to one row per data row; of repeated headers the greatest value stays."""
+    return cells.groupBy("sheet", "row_no").agg(
+        *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]
+    )

@@ -2,7 +2,7 @@
 
 import pytest
 
-from docketlens.plans import queries
+from docketlens.plans import dataset_queries as queries
 
 from .compare import spark_rows, sql_rows
 
