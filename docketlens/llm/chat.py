@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_in_arrow
 from . import common
 from .chat_template import compile_template, unescape, unescape_line
 
@@ -97,7 +98,7 @@ def format_conversations(turns: DataFrame, template: str = CHAT, part_chars: int
     return (
         turns.select("conv_id", "turn", "role", "text").repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
-        .mapInArrow(run, PARTS.format(id=kind))
+        .transform(map_in_arrow, run, PARTS.format(id=kind))
     )
 
 
@@ -159,7 +160,7 @@ def read_back(parts: DataFrame) -> DataFrame:
             [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
         )
 
-    return parts.mapInArrow(run, DIGESTS.format(id=parts.schema["conv_id"].dataType.simpleString()))
+    return parts.transform(map_in_arrow, run, DIGESTS.format(id=parts.schema["conv_id"].dataType.simpleString()))
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"

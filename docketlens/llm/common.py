@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import map_in_arrow
+
 #: Texts are handled in runs of about so many characters, so a task's memory does not grow with
 #: the rows of an Arrow batch.
 RUN_CHARS = 1_000_000
@@ -64,7 +66,7 @@ def append_columns(
             arrays += [pa.array(v, type=t) for v, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=arrow_names)
 
-    return source.mapInArrow(run, schema)
+    return source.transform(map_in_arrow, run, schema)
 
 
 def runs_of(lengths: list[int], limit: int = RUN_CHARS) -> Iterator[tuple[int, int]]:

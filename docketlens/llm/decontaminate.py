@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, map_in_arrow
 from . import common
 
 NUMBER_WORDS = frozenset(
@@ -195,7 +195,7 @@ def _window_rows(df: DataFrame, options: TemplateOptions, sizes: list[int], bitm
                     names=["id", "position", "hash", "template", "slots"],
                 )
 
-    return df.mapInArrow(run, WINDOW_SCHEMA)
+    return df.transform(map_in_arrow, run, WINDOW_SCHEMA)
 
 
 def item_windows(items: DataFrame, options: TemplateOptions) -> DataFrame:
@@ -219,8 +219,8 @@ def item_windows(items: DataFrame, options: TemplateOptions) -> DataFrame:
                         names=["id", "position", "hash", "template", "slots", "size"],
                     )
 
-    return items.select(F.col("item_id").alias("id"), "text").mapInArrow(
-        run, WINDOW_SCHEMA + ", size int"
+    return items.select(F.col("item_id").alias("id"), "text").transform(
+        map_in_arrow, run, WINDOW_SCHEMA + ", size int"
     )
 
 

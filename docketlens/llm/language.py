@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_in_arrow
 from . import common
 
 UNDETERMINED = "und"
@@ -167,7 +168,7 @@ def train(df: DataFrame, options: LanguageOptions = LanguageOptions()) -> Scorer
 
     parts = (
         labelled_sample(df, options).repartition(4)
-        .mapInArrow(count, "lang string, rows long, counts binary").collect()
+        .transform(map_in_arrow, count, "lang string, rows long, counts binary").collect()
     )
     languages = sorted({r["lang"] for r in parts})
     counts = np.zeros((len(languages), width))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import map_in_arrow
 from . import common
 
 
@@ -183,7 +184,7 @@ def pack(docs: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
             yield flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(id=kind))
+    return docs.select("doc_id", "text").transform(map_in_arrow, run, PIECES.format(id=kind))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

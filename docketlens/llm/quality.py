@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_in_arrow
 from . import common
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -145,8 +146,8 @@ def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     total = df.count()
     share = min(1.0, sample_rows / max(1, total))
     sample = df.filter(common.sample_share(F.col("doc_id"), "quality") < share).select("text")
-    found = sample.repartition(1).mapInArrow(
-        measure, "rule string, seconds double, rejected long, rows long"
+    found = sample.repartition(1).transform(
+        map_in_arrow, measure, "rule string, seconds double, rejected long, rows long"
     ).collect()
     by_rule = {r["rule"]: r.asDict() for r in found}
     place = {r.name: i for i, r in enumerate(rules)}

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, map_in_arrow
 from . import common
 from .components import connected_components
 
@@ -246,7 +246,7 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
         .repartition("mask_no", "key")
         .sortWithinPartitions("mask_no", "key", "rank")
         .select("mask_no", "key", "fp")
-        .mapInArrow(_bucket_edges, "src long, dst long")
+        .transform(map_in_arrow, _bucket_edges, "src long, dst long")
         .distinct()
     )
 

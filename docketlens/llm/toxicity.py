@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_in_arrow
 from . import common
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -123,9 +124,9 @@ def contrast_vocabulary(rows: DataFrame, options: ToxicityOptions) -> list[str]:
         )
 
     counted = (
-        rows.select("text", "toxic").mapInArrow(pairs, "toxic int, word string, before long")
+        rows.select("text", "toxic").transform(map_in_arrow, pairs, "toxic int, word string, before long")
         .repartition(4, F.substring("word", 1, _PREFIXES[0]))
-        .mapInArrow(count, "unit string, toxic long, ordinary long").collect()
+        .transform(map_in_arrow, count, "unit string, toxic long, ordinary long").collect()
     )
     toxic_total = sum(r["toxic"] for r in counted if not r["unit"])
     ordinary_total = sum(r["ordinary"] for r in counted if not r["unit"])
@@ -175,7 +176,7 @@ def ordinary_content(rows: DataFrame, options: ToxicityOptions) -> bytes:
             )
 
     chosen = (
-        rows.filter("toxic = 0").select("text").mapInArrow(cut, "rank long, piece binary")
+        rows.filter("toxic = 0").select("text").transform(map_in_arrow, cut, "rank long, piece binary")
         .distinct().orderBy("rank").limit(options.ordinary_windows).collect()
     )
     return b"".join(bytes(r["piece"]) for r in chosen)
@@ -195,7 +196,7 @@ def counter_vocabulary(rows: DataFrame, vocabulary: list[str], options: Toxicity
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
     chosen = (
-        rows.filter("toxic = 0").select("text").mapInArrow(pick, "word string").groupBy("word")
+        rows.filter("toxic = 0").select("text").transform(map_in_arrow, pick, "word string").groupBy("word")
         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word")
         .limit(options.ordinary_windows).collect()
     )
@@ -290,8 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
                 names=["toxic", "a", "b", "c"],
             )
 
-    found = rows.select("text", "toxic").mapInArrow(
-        measure, "toxic int, a double, b double, c double"
+    found = rows.select("text", "toxic").transform(
+        map_in_arrow, measure, "toxic int, a double, b double, c double"
     ).collect()
     y = np.array([r["toxic"] for r in found], dtype=float)
     if not len(y) or y.min() == y.max():
