@@ -1,8 +1,8 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
 A text's words are cut into windows of a few words, and each window is compressed with an ordinary and
-with a toxic dictionary. The ordinary dictionary holds windows of ordinary training texts. The toxic one
-holds the same windows at the same distances, with the contrast vocabulary of the toxic training texts
+with a toxic dictionary. The ordinary dictionary is trained on windows of ordinary training texts. The
+toxic one holds the same content at the same distances, with the contrast vocabulary of the toxic training texts
 in the room that the other one leaves empty; so an ordinary window compresses alike with both, and a
 shorter toxic length is a sign of toxic text. A logistic model over the mean difference, the largest
 differences and their sum is fitted and shifted so that the best threshold on the training rows has
@@ -36,7 +36,8 @@ from . import common
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = "   "
 _PREFIXES = (4, 5, 6)
-_FILL = b"\xff"
+#: Bytes that no UTF-8 text has.
+_FILLS = (0xFF, 0xFE, 0xFD, 0xFC, 0xFB, 0xFA, 0xF9, 0xF8, 0xF7, 0xF6, 0xF5, 0xC1, 0xC0)
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,9 @@ class ToxicityOptions:
     ordinary_rows: int = 4500
     window_words: int = 8
     vocabulary_bytes: int = 32 << 10
-    ordinary_windows: int = 1024
+    counter_words: int = 1024
+    dictionary_samples: int = 8192
+    dictionary_bytes: int = 64 << 10
     min_evidence: float = 20.0
     min_ratio: float = 20.0
     threshold: float = 0.7
@@ -161,15 +164,15 @@ def essential(scored: dict[str, tuple[float, int]], slack: float = 1.2) -> list[
     return [u for u in scored if u not in dropped]
 
 
-def ordinary_content(rows: DataFrame, options: ToxicityOptions) -> bytes:
-    """Hash-chosen windows of ordinary training texts."""
-    size = options.window_words
+def ordinary_windows(rows: DataFrame, options: ToxicityOptions) -> list[bytes]:
+    """Hash-chosen windows of ordinary training texts: one half to train on, one to compare with."""
+    size, wanted = options.window_words, 2 * options.dictionary_samples
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {w for t in batch.column("text").to_pylist() for w in windows(t, size)}
             ranks = {xxhash.xxh64_intdigest(w, 1) >> 1: w for w in made}
-            least = sorted(ranks)[: options.ordinary_windows]
+            least = sorted(ranks)[:wanted]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(least, pa.int64()), pa.array([ranks[r] for r in least], pa.binary())],
                 names=["rank", "piece"],
@@ -177,9 +180,29 @@ def ordinary_content(rows: DataFrame, options: ToxicityOptions) -> bytes:
 
     chosen = (
         rows.filter("toxic = 0").select("text").transform(map_in_arrow, cut, "rank long, piece binary")
-        .distinct().orderBy("rank").limit(options.ordinary_windows).collect()
+        .distinct().orderBy("rank").limit(wanted).collect()
     )
-    return b"".join(bytes(r["piece"]) for r in chosen)
+    return [bytes(r["piece"]) for r in chosen]
+
+
+def trained_dictionary(pieces: list[bytes], options: ToxicityOptions) -> bytes:
+    """Content of a dictionary trained on windows; too few windows are the dictionary themselves."""
+    try:
+        return zstandard.train_dictionary(options.dictionary_bytes, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)
+
+
+def quietest_fill(ordinary: bytes, vocabulary: list[str], pieces: list[bytes], options: ToxicityOptions) -> int:
+    """The filling byte under which ordinary windows differ least between the dictionaries.
+
+    The vocabulary takes some hash slots of the ordinary content; which ones depends on that byte.
+    """
+    def noise(fill: int) -> int:
+        distance = Distance(ordinary, vocabulary, fill, options)
+        return sum(abs(distance.difference(p)) for p in pieces)
+
+    return min(_FILLS, key=noise)
 
 
 def counter_vocabulary(rows: DataFrame, vocabulary: list[str], options: ToxicityOptions) -> bytes:
@@ -198,7 +221,7 @@ def counter_vocabulary(rows: DataFrame, vocabulary: list[str], options: Toxicity
     chosen = (
         rows.filter("toxic = 0").select("text").transform(map_in_arrow, pick, "word string").groupBy("word")
         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word")
-        .limit(options.ordinary_windows).collect()
+        .limit(options.counter_words).collect()
     )
     return "".join(_GAP + r["word"] for r in reversed(chosen)).encode("utf-8", "surrogatepass")
 
@@ -206,13 +229,14 @@ def counter_vocabulary(rows: DataFrame, vocabulary: list[str], options: Toxicity
 class Distance:
     """Length differences of windows under the two dictionaries; one instance per task."""
 
-    def __init__(self, ordinary: bytes, vocabulary: list[str], options: ToxicityOptions) -> None:
+    def __init__(self, ordinary: bytes, vocabulary: list[str], fill: int, options: ToxicityOptions) -> None:
         self.options = options
+        gap = bytes([fill])
         # Units are parted by a byte that no text has, so that only beginnings of words match.
-        toxic = _FILL.join([b"", *[(_GAP + u).encode("utf-8", "surrogatepass") for u in vocabulary]])
-        toxic += _FILL * 16  # The compressor does not index the last bytes of a dictionary.
+        toxic = gap.join([b"", *[(_GAP + u).encode("utf-8", "surrogatepass") for u in vocabulary]])
+        toxic += gap * 16  # The compressor does not index the last bytes of a dictionary.
         # The vocabulary comes last: nearest, and first where two positions share a hash slot.
-        self.ordinary = self._compressor(ordinary + _FILL * len(toxic))
+        self.ordinary = self._compressor(ordinary + gap * len(toxic))
         self.toxic = self._compressor(ordinary + toxic)
 
     @staticmethod
@@ -225,9 +249,11 @@ class Distance:
         dictionary.precompute_compress(compression_params=parameters)
         return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
 
+    def difference(self, window: bytes) -> int:
+        return len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
+
     def features(self, text: str | None) -> tuple[float, float, float]:
-        ordinary, toxic = self.ordinary.compress, self.toxic.compress
-        lengths = [len(ordinary(w)) - len(toxic(w)) for w in windows(text, self.options.window_words)]
+        lengths = [self.difference(w) for w in windows(text, self.options.window_words)]
         top = sorted(lengths)[-3:]
         return (
             sum(lengths) / len(lengths), sum(top) / len(top),
@@ -271,6 +297,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.nda
 class Model:
     ordinary: bytes
     vocabulary: list[str]
+    fill: int
     weights: np.ndarray
     offset: float
 
@@ -278,12 +305,13 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> Model | None:
     """Dictionaries and calibration; None without training rows of both kinds."""
     rows = training_rows(docs, labels, options)
-    ordinary = ordinary_content(rows, options)
+    pieces = ordinary_windows(rows, options)
     vocabulary = contrast_vocabulary(rows, options)
-    ordinary += counter_vocabulary(rows, vocabulary, options)
+    ordinary = trained_dictionary(pieces[::2], options) + counter_vocabulary(rows, vocabulary, options)
+    fill = quietest_fill(ordinary, vocabulary, pieces[1::2], options)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(ordinary, vocabulary, options)
+        distance = Distance(ordinary, vocabulary, fill, options)
         for batch in batches:
             made = np.array([distance.features(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -299,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
         return None
     x = np.array([(r["a"], r["b"], r["c"]) for r in found])
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], y))
-    return Model(ordinary, vocabulary, *fit_logistic(x[order], y[order], options.threshold))
+    return Model(ordinary, vocabulary, fill, *fit_logistic(x[order], y[order], options.threshold))
 
 
 def score(docs: DataFrame, model: Model | None, options: ToxicityOptions = ToxicityOptions(),
@@ -309,7 +337,7 @@ def score(docs: DataFrame, model: Model | None, options: ToxicityOptions = Toxic
 
     def start():
         own, opts = shared.value
-        distance = Distance(own.ordinary, own.vocabulary, opts) if own is not None else None
+        distance = Distance(own.ordinary, own.vocabulary, own.fill, opts) if own is not None else None
 
         def compute(columns, rows):
             if distance is None:
