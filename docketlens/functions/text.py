@@ -54,15 +54,24 @@ def split_organization_sources(raw: Column) -> Column:
     )
     names = F.filter(without_role, lambda p: (p != "") & (p != "-"))
 
+    def is_suffix(name: Column) -> Column:
+        return F.lower(name).isin(*K.CORPORATE_SUFFIXES)
+
     def glue(seen: Column, name: Column) -> Column:
-        is_suffix = (F.size(seen) > 0) & F.lower(name).isin(*K.CORPORATE_SUFFIXES)
         head = F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))
         joined = F.concat(F.element_at(seen, -1), F.lit(", "), name)
-        return F.when(is_suffix, F.concat(head, F.array(joined))).otherwise(
+        return F.when(is_suffix(name) & (F.size(seen) > 0), F.concat(head, F.array(joined))).otherwise(
             F.concat(seen, F.array(name))
         )
 
-    return F.array_distinct(F.aggregate(names, F.expr("CAST(array() AS array<string>)"), glue))
+    def glued(listed: Column) -> Column:
+        return F.aggregate(listed, F.expr("CAST(array() AS array<string>)"), glue)
+
+    # The array binds the names, so that they are computed once; few fields hold a suffix at all.
+    bound = F.transform(
+        F.array(names), lambda n: F.when(F.exists(n, is_suffix), glued(n)).otherwise(n)
+    )
+    return F.array_distinct(bound[0])
 
 
 def normalize_column(raw: Column) -> Column:

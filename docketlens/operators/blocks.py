@@ -132,6 +132,40 @@ def coalesce_blocks(documents: DataFrame, limits: BlockLimits = BlockLimits()) -
     return _fenced(staged, keep, {"blocks": identified})
 
 
+def coalesce_rows(rows: DataFrame, limits: BlockLimits = BlockLimits()) -> DataFrame:
+    """Parser blocks as long rows to evidence block rows; the longest run bounds a task's memory.
+
+    Input: ``document_id, block_index, kind, text, section_path, table_row``. Packing never crosses a
+    heading or a change of section or group type, so these runs are numbered and packed one by one; a
+    document of any length is never gathered as a whole.
+    """
+    order = W.partitionBy("document_id").orderBy("block_index")
+    heading = F.col("kind") == "heading"
+    key = F.concat_ws("\x01", text.group_type(F.col("kind")), F.array_join("section_path", "\x02"))
+    turned = (F.lag(key).over(order) != key) | heading | F.lag(heading).over(order)
+    runs = (
+        rows.filter(text.word_count(F.col("text")) > 0)
+        .withColumn("run", F.sum(F.coalesce(turned, F.lit(True)).cast("int")).over(
+            order.rowsBetween(W.unboundedPreceding, 0)
+        ))
+        .filter(~heading)
+    )
+    packed = coalesce_blocks(
+        runs.groupBy("document_id", "run").agg(
+            F.sort_array(F.collect_list(F.struct("block_index", "kind", "text", "section_path", "table_row")))
+            .alias("blocks")
+        ), limits,
+    )
+    placed = packed.select("document_id", "run", F.posexplode("blocks").alias("at", "b")).withColumn(
+        "index", F.row_number().over(W.partitionBy("document_id").orderBy("run", "at")) - 1
+    )
+    fields = [F.col(f"b.{c}").alias(c) for c in ("kind", "text", "section_path", "table_row")]
+    return placed.select("document_id", F.col("index").alias("block_index"), *fields).withColumn(
+        "id", ids.evidence_block_id(F.col("document_id"), F.col("block_index"), F.col("kind"),
+                                    F.col("section_path"), F.col("text"))
+    )
+
+
 def explode_blocks(documents: DataFrame) -> DataFrame:
     """Evidence-block arrays to rows."""
     keep = [c for c in documents.columns if c != "blocks"]

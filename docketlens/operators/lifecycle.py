@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,15 +139,8 @@ def readiness(meetings: DataFrame, documents: DataFrame, artifacts: DataFrame, b
 
     ``artifacts`` has ``meeting_id, kind, filename, parse_status``; ``bodies`` lists parsed documents.
     """
-    own = meetings.agg(F.count(F.lit(1)).alias("meetings")).crossJoin(
-        undated(meetings).agg(F.count(F.lit(1)).alias("undated_meetings"))
-    )
-    reports = artifacts.filter((F.col("kind") == "report") & (F.col("parse_status") == "parsed")).agg(
-        F.count_distinct("meeting_id").alias("report_meetings")
-    )
-    invalid = artifacts.agg(
-        F.count_if(~F.col("parse_status").isin(*K.SETTLED_PARSE_STATUSES)).alias("invalid_artifacts")
-    )
+    reports = F.when((F.col("kind") == "report") & (F.col("parse_status") == "parsed"), F.col("meeting_id"))
+    invalid = ~F.col("parse_status").isin(*K.SETTLED_PARSE_STATUSES)
     files = artifacts.filter(F.col("kind") == "tdoc").groupBy(
         text.document_id_of(F.col("filename")).alias("key")
     ).agg(F.bool_or(F.col("parse_status") == "quarantined").alias("quarantined"))
@@ -155,12 +150,19 @@ def readiness(meetings: DataFrame, documents: DataFrame, artifacts: DataFrame, b
         .join(files.withColumn("archived", F.lit(True)), "key", "left").join(parsed, "key", "left")
     )
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    counts = joined.agg(
-        F.count(F.lit(1)).alias("tdocs"), F.count_if("wanted").alias("actionable_tdocs"),
-        F.count_if(F.col("wanted") & yes("archived")).alias("archived_actionable"),
-        F.count_if(F.col("wanted") & (yes("parsed") | yes("quarantined"))).alias("handled_actionable"),
-    )
-    one = own.crossJoin(reports).crossJoin(invalid).crossJoin(counts)
+    parts = [
+        meetings.agg(F.count(F.lit(1)).alias("meetings")),
+        undated(meetings).agg(F.count(F.lit(1)).alias("undated_meetings")),
+        artifacts.agg(F.count_distinct(reports).alias("report_meetings"), F.count_if(invalid).alias("invalid_artifacts")),
+        joined.agg(
+            F.count(F.lit(1)).alias("tdocs"), F.count_if("wanted").alias("actionable_tdocs"),
+            F.count_if(F.col("wanted") & yes("archived")).alias("archived_actionable"),
+            F.count_if(F.col("wanted") & (yes("parsed") | yes("quarantined"))).alias("handled_actionable"),
+        ),
+    ]
+    # Each part is one row; the rows are stacked and folded into one.
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    one = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     ratio = text.guarded_ratio
     rated = one.withColumns({
         "archive_coverage": ratio(F.col("archived_actionable"), F.col("actionable_tdocs")),

@@ -306,6 +306,33 @@ def _(spark, sf):
     return lifecycle.latest_observation(stored).select("source_url", "observed_at")
 
 
+@query("stream_backfill", """WITH f AS (SELECT user_id % 25 AS n, CAST(arg_min(ts, (ts, event_id)) AS DATE) AS d FROM events GROUP BY 1)
+  SELECT id, coalesce(starts_on, d) AS starts_on, coalesce(ends_on, d + 4) AS ends_on FROM meetings LEFT JOIN f ON f.n = number""", "meetings")
+def _(spark, sf):
+    meetings = derive(spark, sf, "meetings")
+    stream = event_stream(spark, sf)
+    number = meetings.select("number", F.col("id").alias("meeting_id"))
+    day = F.col("ts").cast("date")
+    found = stream.withColumn("number", (F.col("user_id") % 25).cast("int")).join(number, "number").select(
+        "meeting_id", F.struct("ts", "event_id").alias("place"), day.alias("starts_on"), F.date_add(day, 4).alias("ends_on")
+    )
+    return arrivals.backfilled(found, meetings, spark).select("id", "starts_on", "ends_on")
+
+
+@query("evidence_runs", """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS island
+    FROM conversations WHERE trim(text) <> ''), r AS (SELECT document_id, role, island, min(turn) AS start, count(*) AS elements,
+    sha256(string_agg(trim(text, chr(10) || ' '), chr(10) || chr(10) ORDER BY turn)) AS digest FROM t GROUP BY ALL)
+  SELECT document_id, role, CAST(row_number() OVER (PARTITION BY document_id ORDER BY start) - 1 AS INTEGER) AS block_index, digest FROM r""")
+def _(spark, sf):
+    # Turns are short, so each run of one role becomes one block.
+    rows = turn_blocks(spark, sf).withColumns({"kind": F.lit("paragraph"), "table_row": F.lit(None).cast("int")})
+    return blocks.coalesce_rows(rows).select(
+        "document_id", F.col("section_path")[1].alias("role"), F.col("block_index").cast("int").alias("block_index"),
+        F.sha2("text", 256).alias("digest"),
+    )
+
+
 @query("completeness_by_group", """SELECT working_group_id, count(*) AS meetings, count(*) FILTER (WHERE readiness = 'final_ready') AS final FROM meetings GROUP BY 1""",
        "meetings")
 def _(spark, sf):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lifecycle import filled_dates
 from ..session import fresh_path
 
 
@@ -80,3 +81,16 @@ def versions(stream: DataFrame, spark: SparkSession, name: str = "versions") ->
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
+
+
+def backfilled(found: DataFrame, meetings: DataFrame, spark: SparkSession, name: str = "backfill") -> DataFrame:
+    """``meetings`` with missing dates filled from a stream of ``(meeting_id, place, starts_on, ends_on)``.
+
+    All dates that arrived are kept; of a meeting's dates the one with the smallest place counts, whatever
+    the order of arrival. Known dates stay.
+    """
+    arrived = finished(found, spark, name)
+    first = arrived.groupBy("meeting_id").agg(
+        F.min_by(F.struct("starts_on", "ends_on"), "place").alias("d")
+    ).select("meeting_id", "d.*")
+    return filled_dates(meetings, first)

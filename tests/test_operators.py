@@ -41,6 +41,19 @@ def test_table_rows_keep_the_first_row(spark):
     assert {r["kind"] for r in rows} == {"table_row"} and rows[0]["table_row"] == 10 and "\n" in rows[0]["text"]
 
 
+def test_runs_equal_whole_documents(spark):
+    import random
+
+    rng = random.Random(6)
+    kinds = ["paragraph", "list_item", "heading", "table_row", "note"]
+    parts = [(rng.choice(kinds), words(rng.choice([0, 3, 40, 300, 1500])), [rng.choice("ab")], None) for _ in range(120)]
+    docs = one_document(spark, parts)
+    want = blocks.explode_blocks(blocks.coalesce_blocks(docs)).select("block_index", "id", "kind", "text").collect()
+    rows = docs.select("document_id", F.posexplode("blocks").alias("block_index", "b")).select("document_id", "block_index", "b.*")
+    got = blocks.coalesce_rows(rows).select("block_index", "id", "kind", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 20
+
+
 def test_no_block_is_dropped(spark):
     docs = one_document(spark, [("paragraph", f"word{i}", ["s"], None) for i in range(3000)])
     made = blocks.build_chunks(blocks.coalesce_blocks(docs))
