@@ -149,8 +149,8 @@ def is_valid(kind: Column, value: Column) -> Column:
 def judged(found: DataFrame) -> DataFrame:
     """Candidates with ``is_base``, the four votes and the classifier's features.
 
-    A digit run that is card-long but fails the check becomes an ``account`` candidate; other failed
-    base matches are dropped (their row stays as an empty one).
+    A digit run that is card-long but fails the check becomes an ``account`` candidate, against which the
+    regex labeler votes; other failed base matches are dropped (their row stays as an empty one).
     """
     value, kind = F.col("value"), F.col("kind")
     base = (F.col("source") == "base") & is_valid(kind, value)
@@ -168,7 +168,7 @@ def judged(found: DataFrame) -> DataFrame:
     area = F.substring(compact, 1, 3)
     regex = (
         F.when(F.col("is_base"), 1)
-        .when(kind == "account", F.when(size == 16, 0).otherwise(-1))
+        .when(kind == "account", -1)
         .when(kind == "identity", F.when(area.isin("000", "666") | area.startswith("9"), -1).otherwise(1))
         .when(kind == "secret", F.when(F.rlike(value, F.lit("[0-9]")), 1).otherwise(-1))
         .otherwise(0)
