@@ -200,7 +200,7 @@ def forest(codes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 def _whole_buckets(batches: Iterator[pa.RecordBatch]):
     """Runs of complete (mask, key) buckets from sorted batches."""
     held: list[tuple] = []
-    size = 0
+    size, due = 0, RUN_CODES
 
     def joined():
         return [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -208,16 +208,17 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         held.append(tuple(batch.column(c).to_numpy() for c in ("mask_no", "key", "fp")))
         size += batch.num_rows
-        if size < RUN_CODES:
+        if size < due:
             continue
         mask_no, key, fp = joined()
         change = np.flatnonzero((key[1:] != key[:-1]) | (mask_no[1:] != mask_no[:-1]))
         if len(change):
             cut = change[-1] + 1
             yield mask_no[:cut], key[:cut], fp[:cut]
-            held, size = [(mask_no[cut:], key[cut:], fp[cut:])], len(key) - cut
+            held, size, due = [(mask_no[cut:], key[cut:], fp[cut:])], len(key) - cut, RUN_CODES
         else:
-            held = [(mask_no, key, fp)]
+            # One bucket alone so far: look again once it has doubled.
+            held, due = [(mask_no, key, fp)], 2 * size
     if size:
         yield tuple(joined())
 

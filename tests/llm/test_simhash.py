@@ -78,6 +78,21 @@ def test_index_in_small_runs(monkeypatch):
     assert (labels == plain_components(codes, np.arange(len(codes)))).all()
 
 
+def test_buckets_stay_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    sizes = [1, 300, 2, 2, 900, 1, 40]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    rows = [np.zeros(len(keys), dtype=np.int32), keys, np.array([rng.getrandbits(63) for _ in keys])]
+    whole = pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["mask_no", "key", "fp"])
+    monkeypatch.setattr(simhash, "RUN_CODES", 50)
+    runs = list(simhash._whole_buckets(whole.slice(i, 17) for i in range(0, len(keys), 17)))
+    assert np.concatenate([r[2] for r in runs]).tolist() == rows[2].tolist()
+    seen = [set(r[1].tolist()) for r in runs]
+    assert sum(map(len, seen)) == len(sizes) and len(runs) > 2
+
+
 def test_edges(edge_docs, no_docs):
     rows = simhash.documents_with_components(edge_docs).collect()
     assert len(rows) == edge_docs.count()
