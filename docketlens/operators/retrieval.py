@@ -8,6 +8,7 @@ texts are joined last.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,19 +101,26 @@ def _block_scores(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         if not names:
             return
         wanted = _unit(vectors)
+        kept: list[tuple[np.ndarray, np.ndarray]] | None = None
         for batch in batches:
             ids = np.array(batch.column("id").to_pylist())
             values = batch.column("embedding")
             if not len(ids):
                 continue
             sims = wanted @ _unit([v.values.to_numpy(zero_copy_only=False) for v in values]).T
-            shown = np.round(sims, DECIMALS)
-            for q, name in enumerate(names):
-                best = np.lexsort((ids, -shown[q]))[:k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(best)), pa.array(ids[best]), pa.array(sims[q][best])],
-                    names=["query_id", "id", "score"],
-                )
+            fresh = [(ids, own) for own in sims]
+            if kept is not None:
+                fresh = [
+                    (np.concatenate((a, i)), np.concatenate((b, s)))
+                    for (a, b), (i, s) in zip(kept, fresh, strict=True)
+                ]
+            best = [np.lexsort((i, -np.round(s, DECIMALS)))[:k] for i, s in fresh]
+            kept = [(i[b], s[b]) for (i, s), b in zip(fresh, best, strict=True)]
+        for name, (own, scores) in zip(names, kept or [], strict=False):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(own)), pa.array(own), pa.array(scores)],
+                names=["query_id", "id", "score"],
+            )
 
     kinds = (queries.schema["query_id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString())
     return chunks.filter(F.col("embedding").isNotNull()).select("id", "embedding").transform(
@@ -275,6 +283,10 @@ def search_depth(k: int, weights: tuple[float, float], rrf_k: int, spread: float
     return max(k, int(sum(weights) / min(used) * spread * (rrf_k + k) - rrf_k) + 1)
 
 
+#: Candidates that one pass of the hybrid search may hold; more queries are searched in blocks.
+PASS_CANDIDATES = 2_000_000
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int, evidence: DataFrame | None = None,
            lexical_weight: float = 1.0, vector_weight: float = 1.0, rrf_k: int = 60) -> DataFrame:
     """Top ``k`` chunks per query by fused lexical and vector ranks and evidence authority.
@@ -293,6 +305,19 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, evidence: DataFrame |
         low, high = min(1.0, seen["lo"] if seen["lo"] is not None else 1.0), max(1.0, seen["hi"] or 1.0)
         spread = high / low if low > 0 else float(chunks.count() + 1)
     depth = search_depth(k, (lexical_weight, vector_weight), rrf_k, spread)
+    blocks = max(1, -(-queries.count() * 2 * depth // PASS_CANDIDATES))
+    found = [
+        _hybrid_block(
+            queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), chunks, k, depth, evidence,
+            (lexical_weight, vector_weight), rrf_k,
+        )
+        for b in range(blocks)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _hybrid_block(queries: DataFrame, chunks: DataFrame, k: int, depth: int, evidence: DataFrame | None,
+                  weights: tuple[float, float], rrf_k: int) -> DataFrame:
     lexical = cut_lineage(lexical_scores(queries, chunks))
     near = vector_scores(queries, chunks, depth)
     pairs = cut_lineage(
@@ -300,7 +325,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, evidence: DataFrame |
     )
     by_words = ranks_among(pairs.join(lexical, ["query_id", "id"]), lexical)
     by_vector = vector_ranks_among(_similarities(pairs, queries, chunks), queries, chunks)
-    scores = fused([(by_words, lexical_weight), (by_vector, vector_weight)], rrf_k)
+    scores = fused([(by_words, weights[0]), (by_vector, weights[1])], rrf_k)
     if evidence is not None:
         scores = with_authority(scores, evidence)
     return ranked(scores, k)

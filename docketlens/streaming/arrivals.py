@@ -7,9 +7,10 @@ table; ``availableNow`` processes what is there and stops, so a run equals the b
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.lifecycle import filled_dates
+from ..operators.lifecycle import filled_dates, first_of
 from ..session import fresh_path
 
 
@@ -39,41 +40,46 @@ def counts_per_window(stream: DataFrame, width: str, late: str, column: str) ->
     )
 
 
-def appended_versions(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+KEYS = ("source_url", "sha256", "observed_at", "event_id")
+
+
+def appended_versions(batch: DataFrame, latest: DataFrame | None) -> DataFrame:
     """Rows of a batch that change their URL's content, in order of observation.
 
-    A row is a new version if its hash differs from the URL's previous one, in the batch or stored.
+    A row is a new version if its hash differs from the URL's previous one, in the batch or in ``latest``
+    (one row per URL).
     """
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("source_url").orderBy("observed_at", "event_id")
     before = F.lag("sha256").over(order)
-    if stored is None:
-        return batch.withColumn("_before", before).filter(
-            F.col("_before").isNull() | (F.col("_before") != F.col("sha256"))
-        ).drop("_before")
-    last = stored.groupBy("source_url").agg(
-        F.max_by("sha256", F.struct("observed_at", "event_id")).alias("_last")
-    )
-    return (
-        batch.join(last, "source_url", "left").withColumn("_before", F.coalesce(before, F.col("_last")))
-        .filter(F.col("_before").isNull() | (F.col("_before") != F.col("sha256")))
-        .drop("_before", "_last")
-    )
+    if latest is None:
+        marked = batch.withColumn("_before", before)
+    else:
+        last = latest.select("source_url", F.col("sha256").alias("_last"))
+        marked = batch.join(last, "source_url", "left").withColumn(
+            "_before", F.coalesce(before, F.col("_last"))
+        ).drop("_last")
+    changed = F.col("_before").isNull() | (F.col("_before") != F.col("sha256"))
+    return marked.filter(changed).drop("_before")
 
 
 def versions(stream: DataFrame, spark: SparkSession, name: str = "versions") -> DataFrame:
-    """New versions of every URL, batch by batch, each batch compared with the versions kept so far.
+    """New versions of every URL, batch by batch, each batch compared with the latest version per URL.
 
-    A batch writes to its own folder, so a repeated batch replaces its rows instead of adding them.
+    A batch writes its versions and the next snapshot of latest rows to folders of its own, so a
+    repeated batch replaces its rows instead of adding them, and only one snapshot is read per batch.
     """
     out, offsets = fresh_path(spark, name), fresh_path(spark, f"{name}-offsets")
+    snapshots = fresh_path(spark, f"{name}-latest")
 
     def keep(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        earlier = [f"{out}/batch={i}" for i in range(number)]
-        stored = session.read.schema(batch.schema).parquet(*earlier) if earlier else None
-        appended_versions(batch, stored).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        latest = session.read.parquet(f"{snapshots}/{number - 1}") if number else None
+        appended_versions(batch, latest).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = session.read.schema(batch.schema).parquet(f"{out}/batch={number}").select(*KEYS)
+        merged = rows if latest is None else latest.unionByName(rows)
+        first_of(merged, ["source_url"], [F.desc("observed_at"), F.desc("event_id")]).write.mode(
+            "overwrite"
+        ).parquet(f"{snapshots}/{number}")
 
     query = (
         stream.writeStream.foreachBatch(keep).option("checkpointLocation", offsets)

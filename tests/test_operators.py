@@ -94,7 +94,7 @@ def test_hybrid_score_with_authority(spark):
     assert best[0]["id"] == "c1" and best[0]["score"] == pytest.approx((1 / 61 + 1 / 61) * 1.2)
 
 
-def test_hybrid_equals_full_ranking(spark):
+def test_hybrid_equals_full_ranking(spark, monkeypatch):
     import random
 
     rng = random.Random(3)
@@ -112,6 +112,10 @@ def test_hybrid_equals_full_ranking(spark):
     near = retrieval.vector_scores(queries, chunks, 300)
     full = retrieval.ranked(retrieval.with_authority(retrieval.fused([(lexical, 1.0), (near, 1.0)]), evidence), 5)
     assert got == {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in full.collect()}
+    monkeypatch.setattr(retrieval, "PASS_CANDIDATES", 800)
+    blocked = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9))
+               for r in retrieval.hybrid(queries, chunks, 5, evidence).collect()}
+    assert blocked == got
 
 
 def test_short_phrase_inside_a_longer_token(spark):
