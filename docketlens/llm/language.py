@@ -140,7 +140,10 @@ def labelled_sample(df: DataFrame, options: LanguageOptions) -> DataFrame:
 
 
 def train(df: DataFrame, options: LanguageOptions = LanguageOptions()) -> Scorer:
-    """Fit on ``(doc_id, text, lang)`` rows; what reaches the driver is a few count vectors."""
+    """Fit on ``(doc_id, text, lang)`` rows; what reaches the driver is one count vector per language.
+
+    A language's sampled rows are bounded, so one task counts all of them.
+    """
     width = 1 << options.bits
 
     def count(batches):
@@ -167,7 +170,7 @@ def train(df: DataFrame, options: LanguageOptions = LanguageOptions()) -> Scorer
         )
 
     parts = (
-        labelled_sample(df, options).repartition(4)
+        labelled_sample(df, options).repartition(16, "lang")
         .transform(map_in_arrow, count, "lang string, rows long, counts binary").collect()
     )
     languages = sorted({r["lang"] for r in parts})
