@@ -22,10 +22,6 @@ STATUS_ALIASES = {
     "withdrawn": "withdrawn",
 }
 UNKNOWN_STATUS = "unknown"
-STATUS_ORDER = (
-    "available", "agreed", "approved", "endorsed", "merged", "not_pursued", "not_treated",
-    "noted", "postponed", "reissued", "rejected", "reserved", "revised", "withdrawn", "unknown",
-)
 DECISION_STATUSES = ("agreed", "approved", "rejected", "not_pursued", "postponed", "revised")
 NO_ARCHIVE_STATUSES = ("reserved", "withdrawn", "revised", "not_pursued")
 
@@ -40,12 +36,6 @@ AUTHORITY_RANK = {
 }
 
 # --- fixed values: block, artifact, edge and dataset vocabularies --------------------------------
-BLOCK_KINDS = (
-    "heading", "paragraph", "list_item", "table_row",
-    "discussion", "agreement", "conclusion", "note",
-)
-ARTIFACT_KINDS = ("agenda", "tdoc_list", "tdoc", "report", "liaison", "other")
-DATASET_STATES = ("building", "validated", "active", "failed", "superseded")
 SETTLED_PARSE_STATUSES = ("parsed", "quarantined", "not_applicable")
 
 # --- fixed values: spreadsheet vocabulary ----------------------------------------------------

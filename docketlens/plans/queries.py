@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
 from ..functions import dates, ids, text
+from ..functions.constants import AUTHORITY_RANK
 from ..operators import blocks, briefing, graph, lifecycle, retrieval, search
 from ..sources import listings, texts
 from ..streaming import arrivals
@@ -724,7 +724,7 @@ def _(spark, sf):
     return best.select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-_RANKS = ("approved_report", "final_report", "meeting_export", "draft_report", "tdoc_body", "model_inference")
+_RANKS = tuple(AUTHORITY_RANK)
 
 
 def evidence_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
