@@ -215,18 +215,21 @@ def most_common(values: DataFrame, keys: list[str], column: str, limit: int) ->
 
 
 def grouped_decisions(documents: DataFrame) -> DataFrame:
-    """Decided documents per meeting and status, in order of ``seq``."""
-    return documents.filter(decisions()).groupBy("meeting_id", "status").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "id"))).alias("_rows")
-    ).select("meeting_id", "status", F.transform("_rows", lambda r: r["id"]).alias("ids"))
+    """Decided documents with their place within meeting and status, in order of ``seq``.
+
+    Rows instead of lists, so a meeting of any size stays a sorted stream of rows.
+    """
+    order = W.partitionBy("meeting_id", "status").orderBy("seq", "id")
+    return documents.filter(decisions()).select(
+        "meeting_id", "status", F.row_number().over(order).alias("place"), "id"
+    )
 
 
 def ordered_evidence(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Distinct ``evidence_id`` values per key, each at its first place."""
+    """Distinct ``evidence_id`` values per key with the place of their first occurrence."""
     first = rows.groupBy(key, "evidence_id").agg(F.min(order).alias("_first"))
-    return first.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_first", "evidence_id"))).alias("_rows")
-    ).select(key, F.transform("_rows", lambda r: r["evidence_id"]).alias("evidence_ids"))
+    place = F.row_number().over(W.partitionBy(key).orderBy("_first", "evidence_id"))
+    return first.select(key, "evidence_id", place.alias("place"))
 
 
 def traced(documents: DataFrame, meetings: DataFrame, columns: list[str], topic: str) -> DataFrame:
