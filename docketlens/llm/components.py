@@ -12,20 +12,39 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: At most so many hub nodes are handled apart from the others.
+HUBS = 1000
+
+
+def _hub_degree(edges: int) -> int:
+    """Degree above which a node is a hub; fewer than ``HUBS`` nodes of ``edges`` edges exceed it."""
+    return max(64, -(-2 * edges // HUBS))
+
+
+def _joined(rows: DataFrame, least: DataFrame, hub_degree: int) -> DataFrame:
+    """``rows`` with the least neighbour ``m`` of ``u``.
+
+    Rows of hubs meet a broadcast of the few hubs where they lie, so no task receives a hub's edges.
+    """
+    hubs = F.broadcast(least.filter(F.col("n") > hub_degree).select("u", "m"))
+    others = least.filter(F.col("n") <= hub_degree).select("u", "m")
+    plain = rows.join(hubs.select("u"), "u", "left_anti").join(others, "u")
+    return rows.join(hubs, "u").unionByName(plain)
+
+
+def _large_star(edges: DataFrame, hub_degree: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-        "u", F.least("u", "m").alias("m")
-    )
-    return (
-        both.filter(F.col("v") > F.col("u")).join(least, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(
+        "u", F.least("u", "m").alias("m"), "n"
     )
+    return _joined(both.filter(F.col("v") > F.col("u")), least, hub_degree).select(
+        F.col("v").alias("u"), F.col("m").alias("v")
+    ).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    below = edges.join(least, "u").filter(F.col("v") != F.col("m")).select(
+def _small_star(edges: DataFrame, hub_degree: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    below = _joined(edges, least, hub_degree).filter(F.col("v") != F.col("m")).select(
         F.col("v").alias("u"), F.col("m").alias("v")
     )
     return below.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -42,8 +61,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     seen = None
+    hub_degree = _hub_degree(current.count())
     while True:
-        current = cut_lineage(_small_star(_large_star(current)))
+        # The large-star result is read several times, so it is written once.
+        wide = cut_lineage(_large_star(current, hub_degree))
+        current = cut_lineage(_small_star(wide, hub_degree))
         state = current.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"),

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docketlens.llm import simhash
+from docketlens.llm import components, simhash
 
 
 def plain_fingerprint(text):
@@ -55,6 +56,27 @@ def planted(n, seed):
     return codes
 
 
+@pytest.mark.parametrize("least_degree", [64, 2])
+def test_components_with_hubs(spark, monkeypatch, least_degree):
+    rng = random.Random(12)
+    pairs = [(5000, i) for i in range(4000, 4300)] + [(i, 7) for i in range(10, 300)] + [(4100, 150), (3, 3)]
+    pairs += [(i, i + 1) for i in range(6000, 6100)] + [tuple(rng.sample(range(7000, 7400), 2)) for _ in range(300)]
+    monkeypatch.setattr(components, "_hub_degree", lambda edges: least_degree)
+    got = {r["node"]: r["root"] for r in components.connected_components(
+        spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
 def test_links_lose_no_pair(spark):
     codes = planted(400, 5)
     rows = [(i, c - (1 << 64) if c >> 63 else c) for i, c in enumerate(codes)]
