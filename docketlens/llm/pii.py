@@ -296,24 +296,29 @@ def scored(found: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, minimum: float = 0.5) -> DataFrame:
     """``(row_id, doc_id, text)`` to one row per document with its sorted ``spans``.
 
-    ``spans`` is an array of ``(kind_no, start, end, kind, is_base)``.
+    ``spans`` is an array of ``(kind_no, start, end, kind, is_base, cut)``; ``cut`` is the greatest end of
+    the spans that start before, 0 at first.
     """
     found = scored(cut_lineage(judged(candidates(docs))))
     rows = W.partitionBy("row_id").orderBy("start", "end", "kind")
     base_start = F.when(F.col("is_base"), F.col("start"))
     base_end = F.when(F.col("is_base"), F.col("end"))
-    ahead = F.min(base_start).over(rows.rowsBetween(0, W.unboundedFollowing))
+    # Looking ahead is looking back in reverse order; a frame to the last row would be quadratic.
+    reverse = W.partitionBy("row_id").orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
+    ahead = F.min(base_start).over(reverse.rowsBetween(W.unboundedPreceding, 0))
     behind = F.max(base_end).over(rows.rowsBetween(W.unboundedPreceding, 0))
     overlaps = F.coalesce(ahead < F.col("end"), F.lit(False)) | F.coalesce(
         behind > F.col("start"), F.lit(False)
     )
     kept = F.col("is_base") | (~F.col("overlaps") & (F.col("p") >= minimum))
     kind_no = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    span = F.struct(kind_no.alias("kind_no"), "start", "end", "kind", "is_base")
+    before = F.max(F.when(F.col("kept"), F.col("end"))).over(rows.rowsBetween(W.unboundedPreceding, -1))
+    span = F.struct(kind_no.alias("kind_no"), "start", "end", "kind", "is_base", "cut")
     return (
-        found.withColumn("overlaps", overlaps)
+        found.withColumn("overlaps", overlaps).withColumn("kept", F.coalesce(kept, F.lit(False)))
+        .withColumn("cut", F.coalesce(before, F.lit(0).cast("long")))
         .groupBy("row_id", "doc_id")
-        .agg(F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull() & kept, span))).alias("spans"))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull() & F.col("kept"), span))).alias("spans"))
     )
 
 
@@ -322,38 +327,51 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_id", F.monotonically_increasing_id())
 
 
+def _piece(chunks: Column, size: Column, begin: Column, end: Column) -> Column:
+    """Code points ``begin`` to ``end`` of a text that is cut into chunks of ``size``."""
+    i, j = F.floor(begin / size).cast("int"), F.floor(end / size).cast("int")
+    first = F.coalesce(F.get(chunks, i), F.lit(""))
+    last = F.coalesce(F.get(chunks, j), F.lit(""))
+    from_ = (begin - i * size + 1).cast("int")
+    across = F.concat(
+        F.substr(first, from_), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""),
+        F.substr(last, F.lit(1), (end - j * size).cast("int")),
+    )
+    return F.when(i == j, F.substr(first, from_, (end - begin).cast("int"))).otherwise(across)
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``<KIND>`` and ``n_chars`` brought up to date."""
+    """``docs`` with every span of ``text`` replaced by ``<KIND>`` and ``n_chars`` brought up to date.
+
+    The text is cut into chunks once, so that a span costs a chunk's length and not the text's.
+    """
     rows = numbered(docs)
     found = spans(rows.select("row_id", "doc_id", "text")).filter(F.size("spans") > 0)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    start = F.expr("named_struct('at', 0L, 'parts', cast(array() as array<string>))")
-
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        piece = F.concat(
-            F.substr(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")),
-            F.lit("<"), F.upper(s["kind"]), F.lit(">"),
-        )
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(state["parts"], F.array(piece))).otherwise(state["parts"])
-            .alias("parts"),
-        )
-
-    built = F.aggregate("_ordered", start, step)
-    joined = rows.join(found.select("row_id", ordered.alias("_ordered")), "row_id", "left")
-    joined = joined.withColumn("_built", F.when(F.col("_ordered").isNotNull(), built))
-    rest = F.substr(F.col("text"), (F.col("_built.at") + 1).cast("int"))
-    clean = F.when(F.col("_built").isNull(), F.col("text")).otherwise(
-        F.concat(F.array_join("_built.parts", ""), rest)
+    apart = F.filter("spans", lambda s: s["start"] >= s["cut"])
+    cuts = F.array_sort(F.transform(apart, lambda s: F.struct(s["start"], s["cut"], s["kind"], s["end"])))
+    tail = F.array_max(F.transform("spans", lambda s: s["end"]))
+    joined = rows.join(
+        found.select("row_id", cuts.alias("_cuts"), tail.alias("_tail")), "row_id", "left"
+    )
+    length = F.length("text")
+    size = F.greatest(F.lit(1024), (F.sqrt(length) * 16).cast("int"))
+    begins = F.sequence(F.lit(0), F.floor(length / F.col("_size")).cast("int"))
+    cut = joined.withColumn("_size", F.when(F.col("_cuts").isNotNull(), size)).withColumn(
+        "_chunks", F.when(F.col("_cuts").isNotNull(), F.transform(
+            begins, lambda i: F.substr(F.col("text"), i * F.col("_size") + 1, F.col("_size"))
+        ))
     )
-    out = joined.withColumn("text", clean)
+    chunks, width = F.col("_chunks"), F.col("_size")
+    parts = F.transform("_cuts", lambda s: F.concat(
+        _piece(chunks, width, s["cut"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")
+    ))
+    clean = F.concat(F.array_join(parts, ""), _piece(chunks, width, F.col("_tail"), length))
+    out = cut.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        changed = F.col("_built").isNotNull()
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn(
-            "n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+            "n_chars",
+            F.when(F.col("_cuts").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")),
         )
     return out.select(*docs.columns)
 

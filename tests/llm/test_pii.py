@@ -108,6 +108,19 @@ def test_redaction_against_plain_code(spark):
         assert r["text"] == out + source[at:]
 
 
+def test_redaction_of_a_long_text(spark):
+    import time
+
+    line = "é😀 mail a@b.co or +1 (743) 555-3824, "
+    text = line * 20_000 + "tail"
+    docs = spark.createDataFrame([(1, text), (2, "x" * 5000 + " 10.0.0.1")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert got[1] == "é😀 mail <EMAIL> or <PHONE>, " * 20_000 + "tail"
+    assert got[2] == "x" * 5000 + " <IP>"
+    assert time.time() - began < 60
+
+
 def test_estimation_prefers_agreeing_voters():
     rows = [
         {"kind": "x", "n": 80, "regex": 1, "gazetteer": 1, "context": 1, "boundary": 1},
