@@ -12,7 +12,10 @@ Window hashes of the documents first meet a bitmap of the benchmark's hashes, wh
 and template text, so the bitmap never decides. Beyond its bound the bitmap only lets more through.
 
 Windows need ``min_literals`` words that are no placeholders; an item shorter than the window is one
-window of its own length. Null and empty texts have no windows. Rows that share a ``doc_id``, null
+window of its own length. An item with at most one such window is also looked for word by word: its plain
+windows (lower-cased words, no placeholders, no minimum) are joined in the same way, and the better of
+the two coverages counts. A line break may start a sentence or not, so a capitalised word after it is
+read both as a word and as a name. Null and empty texts have no windows. Rows that share a ``doc_id``, null
 included, are judged together. Repeated items are reported one by one. An empty benchmark or an
 empty corpus gives an empty result.
 """
@@ -46,6 +49,10 @@ UNITS = frozenset(
 )
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’«»…–—¿¡"
 _ENDS = (".", "!", "?", ":", ";")
+#: Stands for a line break among the tokens of a text; bare punctuation, so it is dropped later.
+_LINE = "¿¡."
+#: Before the words of a plain window; no template has such a token.
+_PLAIN = "= "
 LITERAL, NUMBER, CAPITAL, UNIT, EMPTY = range(5)
 _PRIME = 0x9E3779B97F4A7C15
 
@@ -91,18 +98,34 @@ class _Words(dict):
             kind = LITERAL
         tail = raw.rstrip("\"')]}”’»*#%&$")
         self.kind.append(kind)
-        self.ends.append(tail.endswith(_ENDS))
+        self.ends.append(raw != _LINE and tail.endswith(_ENDS))
         self.hash.append(_word_hash(low))
         self.core.append(low)
         self[raw] = code = len(self.core) - 1
         return code
 
 
+def _hashed(tokens: np.ndarray, good: np.ndarray, size: int, seed: np.uint64, wanted) -> tuple:
+    """Starts of the ``good`` windows that are ``wanted``, and their hashes."""
+    n = len(good)
+    every = 2 * np.count_nonzero(good) > n
+    at = np.arange(n) if every else np.flatnonzero(good)
+    h = np.full(len(at), seed, dtype=np.uint64)
+    for k in range(size):
+        h = h * np.uint64(_PRIME) + (tokens[k : k + n] if every else tokens[at + k])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_PRIME)
+    kept = good[at]
+    if wanted is not None:
+        kept = kept & wanted(h)
+    return at[kept], h[kept]
+
+
 class Templates:
-    """Template windows of texts; one instance per task."""
+    """Template windows of ``sizes`` and plain windows of ``plain_sizes``; one instance per task."""
 
-    def __init__(self, options: TemplateOptions, sizes: list[int]) -> None:
-        self.options, self.sizes, self.words = options, sizes, _Words()
+    def __init__(self, options: TemplateOptions, sizes: list[int], plain_sizes: list[int] = ()) -> None:
+        self.options, self.sizes, self.plain_sizes, self.words = options, sizes, plain_sizes, _Words()
 
     def windows(self, texts: list[str | None], wanted=None):
         """Per text run and window size: (text index, position, hash, maker of (template, slots)).
@@ -113,9 +136,10 @@ class Templates:
             self.words = _Words()
         words = self.words
         for a, b in common.runs_of([len(t) if t else 0 for t in texts]):
+            line = words[_LINE]
             parts = [
                 np.fromiter(map(words.__getitem__, raw), dtype=np.int64, count=len(raw))
-                for raw in ((t or "").split() for t in texts[a:b])
+                for raw in (f" {_LINE} ".join((t or "").splitlines()).split() for t in texts[a:b])
             ]
             codes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
             if not len(codes):
@@ -125,45 +149,62 @@ class Templates:
             ends = np.frombuffer(words.ends, dtype=np.uint8)[codes].astype(bool)
             starts = np.r_[True, ends[:-1] | (owner[1:] != owner[:-1])]
             full = kinds != EMPTY
-            # A dropped token passes its sentence end on to the word after it.
-            opened = np.cumsum(starts)
-            codes, kinds, owner, opened = codes[full], kinds[full], owner[full], opened[full]
+            broken = np.r_[False, codes[:-1] == line]
+            full = kinds != EMPTY
+            # A dropped token passes its sentence end or line break on to the word after it.
+            opened, lines = np.cumsum(starts), np.cumsum(starts | broken)
+            codes, kinds, owner, opened, lines = (x[full] for x in (codes, kinds, owner, opened, lines))
             if not len(codes):
                 continue
             fresh = np.r_[True, opened[1:] != opened[:-1]]
+            after_line = np.r_[True, lines[1:] != lines[:-1]]
             after_number = np.r_[False, (kinds[:-1] == NUMBER) & (owner[1:] == owner[:-1])]
-            kinds = np.where((kinds == CAPITAL) & fresh, LITERAL, kinds)
+            either = (kinds == CAPITAL) & after_line & ~fresh
+            kinds = np.where((kinds == CAPITAL) & after_line, LITERAL, kinds)
             kinds = np.where((kinds == UNIT) & ~after_number, LITERAL, kinds)
-            hashes = np.frombuffer(words.hash, dtype=np.uint64)[codes]
-            hashes = np.where(kinds == LITERAL, hashes, _PLACE_HASH[kinds])
-            literal = np.r_[0, np.cumsum(kinds == LITERAL)]
+            plain = np.frombuffer(words.hash, dtype=np.uint64)[codes]
+            readings = [(kinds, None)]
+            if either.any():
+                readings.append((np.where(either, CAPITAL, kinds), np.r_[0, np.cumsum(either)]))
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             place = np.arange(len(owner)) - np.repeat(first, np.diff(np.r_[first, len(owner)]))
-            for size in self.sizes:
+            for read, other in readings:
+                hashes = np.where(read == LITERAL, plain, _PLACE_HASH[read])
+                literal = np.r_[0, np.cumsum(read == LITERAL)]
+                for size in self.sizes:
+                    n = len(codes) - size + 1
+                    if n <= 0:
+                        continue
+                    good = (owner[:n] == owner[size - 1 :]) & (
+                        literal[size:] - literal[:n] >= self.options.min_literals
+                    )
+                    if other is not None:
+                        good &= other[size:] > other[:n]
+                    at, h = _hashed(hashes, good, size, np.uint64(size), wanted)
+
+                    def show(i, size=size, codes=codes, read=read):
+                        pairs = list(zip(codes[i : i + size].tolist(), read[i : i + size].tolist(),
+                                         strict=True))
+                        template = " ".join(PLACEHOLDER.get(k) or words.core[c] for c, k in pairs)
+                        slots = "\x1f".join(words.core[c] for c, k in pairs if k != LITERAL)
+                        return template, slots
+
+                    if len(at):
+                        yield owner[at], place[at], h, [show(int(i)) for i in at]
+            for size in self.plain_sizes:
                 n = len(codes) - size + 1
                 if n <= 0:
                     continue
-                h = np.full(n, size, dtype=np.uint64)
-                for k in range(size):
-                    h = h * np.uint64(_PRIME) + hashes[k : k + n]
-                h ^= h >> np.uint64(32)
-                h *= np.uint64(_PRIME)
-                good = (owner[:n] == owner[size - 1 :]) & (
-                    literal[size:] - literal[:n] >= self.options.min_literals
-                )
+                at, h = _hashed(plain, owner[:n] == owner[size - 1 :], size, ~np.uint64(size), wanted)
+                shown = [(_PLAIN + " ".join(words.core[c] for c in codes[i : i + size].tolist()), "")
+                         for i in at.tolist()]
                 if wanted is not None:
-                    good &= wanted(h)
-                at = np.flatnonzero(good)
-
-                def show(i, size=size, codes=codes, kinds=kinds):
-                    pairs = list(zip(codes[i : i + size].tolist(), kinds[i : i + size].tolist(),
-                                     strict=True))
-                    template = " ".join(PLACEHOLDER.get(k) or words.core[c] for c, k in pairs)
-                    slots = "\x1f".join(words.core[c] for c, k in pairs if k != LITERAL)
-                    return template, slots
-
+                    # A text's plain window says the same wherever it stands.
+                    once = {(o, t): k for k, (o, (t, _)) in enumerate(zip(owner[at].tolist(), shown, strict=True))}
+                    kept = np.array(sorted(once.values()), dtype=np.int64)
+                    at, h, shown = at[kept], h[kept], [shown[k] for k in kept]
                 if len(at):
-                    yield owner[at], place[at], h[at], [show(int(i)) for i in at]
+                    yield owner[at], place[at], h, shown
 
     def length(self, text: str | None) -> int:
         return sum(self.words.kind[self.words[w]] != EMPTY for w in (text or "").split())
@@ -172,11 +213,13 @@ class Templates:
 WINDOW_SCHEMA = "id long, position long, hash long, template string, slots string"
 
 
-def _window_rows(df: DataFrame, options: TemplateOptions, sizes: list[int], bitmap=None) -> DataFrame:
-    """``(id, text)`` rows to template windows, those outside the bitmap left out."""
+def _window_rows(
+    df: DataFrame, options: TemplateOptions, sizes: list[int], plain_sizes: list[int], bitmap=None
+) -> DataFrame:
+    """``(id, text)`` rows to template and plain windows, those outside the bitmap left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Templates(options, sizes)
+        maker = Templates(options, sizes, plain_sizes)
         wanted = None
         if bitmap is not None:
             bits, packed = bitmap.value
@@ -199,7 +242,10 @@ def _window_rows(df: DataFrame, options: TemplateOptions, sizes: list[int], bitm
 
 
 def item_windows(items: DataFrame, options: TemplateOptions) -> DataFrame:
-    """Windows of the items at their own size: full windows, or the whole of a shorter item."""
+    """Windows of the items at their own size: full windows, or the whole of a shorter item.
+
+    Items with at most one template window also give their ``plain`` windows.
+    """
     full = options.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,20 +253,29 @@ def item_windows(items: DataFrame, options: TemplateOptions) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text").to_pylist()
             lengths = [maker.length(t) for t in texts]
-            for size in sorted({min(full, n) for n in lengths} - {0}):
-                maker.sizes = [size]
-                own = [i for i, n in enumerate(lengths) if min(full, n) == size]
+            seen: list[set[int]] = [set() for _ in texts]
+
+            def made(own, size, plain):
+                maker.sizes, maker.plain_sizes = ([], [size]) if plain else ([size], [])
                 for owner, place, h, shown in maker.windows([texts[i] for i in own]):
-                    rows = pa.array([own[int(i)] for i in owner])
+                    rows = [own[int(i)] for i in owner]
+                    for i, at in zip(rows, place.tolist(), strict=True):
+                        seen[i].add(at)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(rows), pa.array(place), pa.array(h.view(np.int64)),
+                        [ids.take(pa.array(rows)), pa.array(place), pa.array(h.view(np.int64)),
                          pa.array([t for t, _ in shown]), pa.array([s for _, s in shown]),
-                         pa.array([size] * len(place), pa.int32())],
-                        names=["id", "position", "hash", "template", "slots", "size"],
+                         pa.array([size] * len(place), pa.int32()), pa.array([plain] * len(place))],
+                        names=["id", "position", "hash", "template", "slots", "size", "plain"],
                     )
 
+            for size in sorted({min(full, n) for n in lengths} - {0}):
+                own = [i for i, n in enumerate(lengths) if min(full, n) == size]
+                yield from made(own, size, False)
+                few = [i for i in own if len(seen[i]) <= 1]
+                yield from made(few, size, True)
+
     return items.select(F.col("item_id").alias("id"), "text").transform(
-        map_in_arrow, run, WINDOW_SCHEMA + ", size int"
+        map_in_arrow, run, WINDOW_SCHEMA + ", size int, plain boolean"
     )
 
 
@@ -250,23 +305,24 @@ def contamination(
     """
     spark = docs.sparkSession
     bench = cut_lineage(item_windows(items, options))
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
+    sizes = sorted((r["size"], r["plain"]) for r in bench.select("size", "plain").distinct().collect())
     shared = spark.sparkContext.broadcast(_bitmap(bench, options))
     found = _window_rows(
-        docs.select(F.col("doc_id").alias("id"), "text"), options, sizes, shared
+        docs.select(F.col("doc_id").alias("id"), "text"), options,
+        [s for s, plain in sizes if not plain], [s for s, plain in sizes if plain], shared,
     )
-    totals = bench.groupBy("id").agg(F.count_distinct("position").alias("item_windows"))
+    totals = bench.groupBy("id", "plain").agg(F.count_distinct("position").alias("item_windows"))
     joined = found.alias("d").join(
         bench.alias("b"),
         (F.col("d.hash") == F.col("b.hash")) & (F.col("d.template") == F.col("b.template")),
     ).select(
-        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"),
+        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), "b.plain",
         (F.col("d.position") - F.col("b.position")).alias("alignment"),
         F.col("b.position").alias("position"),
         F.arrays_zip(F.split("b.slots", "\x1f").alias("i"), F.split("d.slots", "\x1f").alias("d"))
         .alias("slots"),
     )
-    aligned = joined.groupBy("doc_id", "item_id", "alignment").agg(
+    aligned = joined.groupBy("doc_id", "item_id", "plain", "alignment").agg(
         F.collect_set("position").alias("positions"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
@@ -276,19 +332,26 @@ def contamination(
     per_item = (
         aligned.filter(consistent)
         .withColumn("same", F.forall("slots", lambda s: s["i"] == s["d"]))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item_id", "plain")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).cast("long")
             .alias("matched_windows"),
             F.bool_and("same").alias("same"),
         )
     )
-    kind = F.when(F.col("same"), "exact").otherwise("reparameterised")
-    return (
-        per_item.join(totals.withColumnRenamed("id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
+    kind = F.when(F.col("best.same"), "exact").otherwise("reparameterised")
+    covered = (
+        per_item.join(
+            totals.select(F.col("id").alias("item"), F.col("plain").alias("of_plain"), "item_windows"),
+            F.col("item_id").eqNullSafe(F.col("item")) & (F.col("plain") == F.col("of_plain")),
+        )
         .withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
         .filter(F.col("coverage") >= options.min_coverage)
-        .select("doc_id", "item_id", "matched_windows", "item_windows", "coverage", kind.alias("kind"))
+    )
+    best = F.max(F.struct("coverage", "same", "matched_windows", "item_windows"))
+    return covered.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage",
+        kind.alias("kind"),
     )
 
 

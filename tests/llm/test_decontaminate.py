@@ -22,6 +22,29 @@ def test_exact_and_reparameterised(spark):
     assert got[2, 0]["kind"] == "exact" and (3, 0) not in got
 
 
+def test_items_without_template_windows(spark):
+    names = "Anna Berta Carl Dora Emil Fritz Gerda Hans Ida Jan"
+    items = ["Who wrote Hamlet?", "What is 12 + 30?", "Ist Berlin die Hauptstadt Deutschlands?", names]
+    got = found(spark, [f"He asked: {i} And so on." for i in items] + ["Who wrote Faust? What is 12 + 31?"], items)
+    assert set(got) == {(i, i) for i in range(len(items))}
+    assert all(r["kind"] == "exact" and r["coverage"] == 1 for r in got.values())
+
+
+def test_items_of_one_window(spark):
+    items = ["Who painted the Mona Lisa?", "please name the largest planet"]
+    texts = ["Question 3\nWho painted the Mona Lisa?", "then asked Who painted the Mona Lisa? again",
+             "Question 3\nWho painted the Sixtine Madonna?", "Please name the\nlargest planet"]
+    got = found(spark, texts, items)
+    assert {k: r["kind"] for k, r in got.items()} == {
+        (0, 0): "exact", (1, 0): "exact", (2, 0): "reparameterised", (3, 1): "exact"}
+
+
+def test_wrapped_lines_keep_their_names(spark):
+    item = "we walked with Tom and Jane along the river towards Paris"
+    got = found(spark, [item.replace(" Tom", "\nTom").replace(" Paris", "\nParis")], [item])
+    assert got[0, 0]["coverage"] == 1
+
+
 def test_inconsistent_slots_do_not_count(spark):
     item = "take 3 apples and 3 pears then add 3 plums and 3 figs to the wooden bowl on table 3 now please"
     same = item.replace("3", "8")
