@@ -3,9 +3,10 @@
 Every text becomes a sequence of template tokens: numbers, units after a number and capitalised
 words inside a sentence turn into typed placeholders, other words are lower-cased and stripped of
 outer punctuation, bare punctuation is dropped. Windows of five template tokens are hash-joined
-between documents and benchmark items. The slots (the values behind the placeholders) of the
-windows on one alignment must map one-to-one between item and document; then the alignment counts,
-as ``exact`` if all values are equal and as ``reparameterised`` if some differ.
+between documents and benchmark items. On one alignment each slot (the value behind a placeholder)
+of the item must stand for one value of the document; several may stand for the same. A window that
+changes a slot with more than one value does not count, the other windows of the alignment do: as
+``exact`` if all values of their alignments are equal and as ``reparameterised`` if some differ.
 
 Window hashes of the documents first meet a bitmap of the benchmark's hashes, whose size is bounded
 (``max_bits``), so only windows that very likely match are shuffled; the join then compares hash
@@ -323,15 +324,23 @@ def contamination(
         .alias("slots"),
     )
     aligned = joined.groupBy("doc_id", "item_id", "plain", "alignment").agg(
-        F.collect_set("position").alias("positions"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.collect_set(F.struct("position", "slots")).alias("windows")
     )
-    of_item = F.array_distinct(F.transform("slots", lambda s: s["i"]))
-    of_doc = F.array_distinct(F.transform("slots", lambda s: s["d"]))
-    consistent = (F.size("slots") == F.size(of_item)) & (F.size("slots") == F.size(of_doc))
+    pairs = F.array_sort(F.array_distinct(F.flatten(F.transform("windows", lambda w: w["slots"]))))
+    # Item values with more than one value in the document: neighbours among the sorted pairs.
+    torn = F.transform(
+        F.filter("pairs", lambda p, k: (k > 0) & (F.get("pairs", k - 1)["i"] == p["i"])), lambda p: p["i"]
+    )
+    whole = F.filter("windows", lambda w: F.forall(
+        w["slots"], lambda s: (s["i"] == s["d"]) | ~F.array_contains("torn", s["i"])
+    ))
+    # Both branches read ``torn``, so the optimiser does not move it into the lambda.
+    counting = F.when(F.size("torn") == 0, F.col("windows")).otherwise(whole)
     per_item = (
-        aligned.filter(consistent)
-        .withColumn("same", F.forall("slots", lambda s: s["i"] == s["d"]))
+        aligned.withColumn("pairs", pairs).withColumn("torn", torn)
+        .withColumn("positions", F.transform(counting, lambda w: w["position"]))
+        .withColumn("same", F.forall("pairs", lambda s: s["i"] == s["d"]))
+        .filter(F.size("positions") > 0)
         .groupBy("doc_id", "item_id", "plain")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).cast("long")

@@ -53,6 +53,30 @@ def test_inconsistent_slots_do_not_count(spark):
     assert got[0, 0]["kind"] == "reparameterised" and (1, 0) not in got
 
 
+COUNTED = ("Tom has 3 red and 3 blue pens in the left drawer of a large desk near the window and gives 2 of "
+           "them to a friend who keeps 5 others in an old box under the bed, so how many are left")
+
+
+def test_one_changed_value_drops_only_its_windows(spark):
+    docs = [COUNTED.replace("3 blue", "4 blue"), COUNTED.replace("3 red and 3", "8 red and 9")]
+    got = found(spark, docs, [COUNTED])
+    assert set(got) == {(0, 0), (1, 0)}
+    windows = got[0, 0]["item_windows"]
+    # The pair (3, 4) stands in five windows, those of (3, 3) alone count.
+    assert got[0, 0]["matched_windows"] == windows - 5 and got[0, 0]["kind"] == "reparameterised"
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, COUNTED)], "item_id long, text string")
+    assert decontaminate.uncontaminated(frame, bench).count() == 0
+
+
+def test_values_that_become_equal(spark):
+    short = "Tom has 2 apples and 5 pears. How many fruits does Tom have in total?"
+    same = [i.replace("2 ", "4 ").replace("5 ", "4 ") for i in (COUNTED, short)]
+    got = found(spark, same, [COUNTED, short])
+    assert {k: (r["kind"], r["coverage"]) for k, r in got.items()} == {
+        (0, 0): ("reparameterised", 1), (1, 1): ("reparameterised", 1)}
+
+
 def test_casing_and_punctuation(spark):
     shouted = " ".join(w.upper() + "!!" for w in ITEM.split())
     marked = " ".join(w + "###" for w in ITEM.split())
