@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import map_in_arrow
+from ..session import fresh_path, map_in_arrow
 
 #: Texts are handled in runs of about so many characters, so a task's memory does not grow with
 #: the rows of an Arrow batch.
@@ -32,6 +32,23 @@ def sample_share(key: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1_000_003)) / 1_000_003
 
 
+#: Column with a row's own number, apart from any name in the tables.
+ROW = "__row"
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    """Rows numbered by their place in the scan, so that repeated and null ids stay apart."""
+    return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def with_stored_row(df: DataFrame, name: str) -> DataFrame:
+    """Numbered rows written once, so that every later read sees the same numbers."""
+    path = fresh_path(df.sparkSession, f"{name}-rows")
+    numbered = with_row(df)
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
 def append_columns(
     df: DataFrame, outputs: str, start: Callable[[], Callable[[dict, int], list]],
     inputs: tuple[str, ...],

@@ -16,8 +16,8 @@ Windows need ``min_literals`` words that are no placeholders; an item shorter th
 window of its own length. An item with at most one such window is also looked for word by word: its plain
 windows (lower-cased words, no placeholders, no minimum) are joined in the same way, and the better of
 the two coverages counts. A line break may start a sentence or not, so a capitalised word after it is
-read both as a word and as a name. Null and empty texts have no windows. Rows that share a ``doc_id``, null
-included, are judged together. Repeated items are reported one by one. An empty benchmark or an
+read both as a word and as a name. Null and empty texts have no windows. Each row is judged by itself, also among
+rows that share a ``doc_id`` or have none. Repeated items are reported one by one. An empty benchmark or an
 empty corpus gives an empty result.
 """
 
@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage, map_in_arrow
 from . import common
@@ -211,13 +212,13 @@ class Templates:
         return sum(self.words.kind[self.words[w]] != EMPTY for w in (text or "").split())
 
 
-WINDOW_SCHEMA = "id long, position long, hash long, template string, slots string"
+WINDOW_SCHEMA = "position long, hash long, template string, slots string"
 
 
 def _window_rows(
     df: DataFrame, options: TemplateOptions, sizes: list[int], plain_sizes: list[int], bitmap=None
 ) -> DataFrame:
-    """``(id, text)`` rows to template and plain windows, those outside the bitmap left out."""
+    """``(row, doc_id, text)`` rows to template and plain windows, those outside the bitmap left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Templates(options, sizes, plain_sizes)
@@ -231,15 +232,17 @@ def _window_rows(
                 return (filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
         for batch in batches:
-            ids = batch.column("id")
+            rows, ids = batch.column(common.ROW), batch.column("doc_id")
             for owner, place, h, shown in maker.windows(batch.column("text").to_pylist(), wanted):
+                at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner)), pa.array(place), pa.array(h.view(np.int64)),
+                    [rows.take(at), ids.take(at), pa.array(place), pa.array(h.view(np.int64)),
                      pa.array([t for t, _ in shown]), pa.array([s for _, s in shown])],
-                    names=["id", "position", "hash", "template", "slots"],
+                    names=[common.ROW, "doc_id", "position", "hash", "template", "slots"],
                 )
 
-    return df.transform(map_in_arrow, run, WINDOW_SCHEMA)
+    key = df.select(common.ROW, "doc_id").schema
+    return df.transform(map_in_arrow, run, T.StructType(key.fields + T.StructType.fromDDL(WINDOW_SCHEMA).fields))
 
 
 def item_windows(items: DataFrame, options: TemplateOptions) -> DataFrame:
@@ -276,7 +279,7 @@ def item_windows(items: DataFrame, options: TemplateOptions) -> DataFrame:
                 yield from made(few, size, True)
 
     return items.select(F.col("item_id").alias("id"), "text").transform(
-        map_in_arrow, run, WINDOW_SCHEMA + ", size int, plain boolean"
+        map_in_arrow, run, f"id long, {WINDOW_SCHEMA}, size int, plain boolean"
     )
 
 
@@ -300,16 +303,21 @@ def _bitmap(windows: DataFrame, options: TemplateOptions) -> tuple[int, bytes]:
 def contamination(
     docs: DataFrame, items: DataFrame, options: TemplateOptions = TemplateOptions()
 ) -> DataFrame:
-    """``(doc_id, text)`` against ``(item_id, text)``: one row per contaminated document and item.
+    """``(doc_id, text)`` against ``(item_id, text)``: one row per contaminated row of ``docs`` and item.
 
     Columns: ``doc_id, item_id, matched_windows, item_windows, coverage, kind``.
     """
+    return _row_contamination(common.with_row(docs.select("doc_id", "text")), items, options).drop(common.ROW)
+
+
+def _row_contamination(docs: DataFrame, items: DataFrame, options: TemplateOptions) -> DataFrame:
+    """``contamination`` of numbered rows, with the row's number."""
     spark = docs.sparkSession
     bench = cut_lineage(item_windows(items, options))
     sizes = sorted((r["size"], r["plain"]) for r in bench.select("size", "plain").distinct().collect())
     shared = spark.sparkContext.broadcast(_bitmap(bench, options))
     found = _window_rows(
-        docs.select(F.col("doc_id").alias("id"), "text"), options,
+        docs.select(common.ROW, "doc_id", "text"), options,
         [s for s, plain in sizes if not plain], [s for s, plain in sizes if plain], shared,
     )
     totals = bench.groupBy("id", "plain").agg(F.count_distinct("position").alias("item_windows"))
@@ -317,13 +325,14 @@ def contamination(
         bench.alias("b"),
         (F.col("d.hash") == F.col("b.hash")) & (F.col("d.template") == F.col("b.template")),
     ).select(
-        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), "b.plain",
+        f"d.{common.ROW}", "d.doc_id", F.col("b.id").alias("item_id"), "b.plain",
         (F.col("d.position") - F.col("b.position")).alias("alignment"),
         F.col("b.position").alias("position"),
         F.arrays_zip(F.split("b.slots", "\x1f").alias("i"), F.split("d.slots", "\x1f").alias("d"))
         .alias("slots"),
     )
-    aligned = joined.groupBy("doc_id", "item_id", "plain", "alignment").agg(
+    key = (common.ROW, "doc_id", "item_id")
+    aligned = joined.groupBy(*key, "plain", "alignment").agg(
         F.collect_set(F.struct("position", "slots")).alias("windows")
     )
     pairs = F.array_sort(F.array_distinct(F.flatten(F.transform("windows", lambda w: w["slots"]))))
@@ -341,7 +350,7 @@ def contamination(
         .withColumn("positions", F.transform(counting, lambda w: w["position"]))
         .withColumn("same", F.forall("pairs", lambda s: s["i"] == s["d"]))
         .filter(F.size("positions") > 0)
-        .groupBy("doc_id", "item_id", "plain")
+        .groupBy(*key, "plain")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).cast("long")
             .alias("matched_windows"),
@@ -358,8 +367,8 @@ def contamination(
         .filter(F.col("coverage") >= options.min_coverage)
     )
     best = F.max(F.struct("coverage", "same", "matched_windows", "item_windows"))
-    return covered.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
-        "doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage",
+    return covered.groupBy(*key).agg(best.alias("best")).select(
+        *key, "best.matched_windows", "best.item_windows", "best.coverage",
         kind.alias("kind"),
     )
 
@@ -367,12 +376,10 @@ def contamination(
 def uncontaminated(
     docs: DataFrame, items: DataFrame, options: TemplateOptions = TemplateOptions()
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows without an id are judged together."""
-    found = contamination(docs.select("doc_id", "text"), items, options)
-    hit = found.select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti").select(
-        *[docs[c] for c in docs.columns]
-    )
+    """The rows of ``docs`` that hold no benchmark item, whatever their ids."""
+    rows = common.with_stored_row(docs, "decontaminate")
+    hit = _row_contamination(rows, items, options).select(common.ROW).distinct()
+    return rows.join(hit, common.ROW, "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

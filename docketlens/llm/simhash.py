@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, map_in_arrow
@@ -252,16 +251,21 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     )
 
 
-def near_components(prints: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` rows to ``(doc_id, fp, component_id)``; the input should be materialised."""
+def _rooted(prints: DataFrame) -> DataFrame:
+    """``prints`` with the fingerprint ``root`` and the ``component_id`` of each row's component."""
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = cut_lineage(connected_components(fingerprint_links(firsts.select("fp"))))
     placed = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
         firsts["fp"], "first_id", F.coalesce("root", firsts["fp"]).alias("root")
     )
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = placed.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp")
+
+
+def near_components(prints: DataFrame) -> DataFrame:
+    """``(doc_id, fp)`` rows to ``(doc_id, fp, component_id)``; the input should be materialised."""
+    return _rooted(prints).select("doc_id", "fp", "component_id")
 
 
 def documents_with_components(docs: DataFrame) -> DataFrame:
@@ -276,17 +280,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest id.
+    """The rows of ``docs`` that stay: one row of each near-duplicate group, that with the smallest id.
 
-    Rows without an id cannot be told apart, so they all stay. Of rows that share an id the one with
-    the smallest text stays.
+    Rows are told apart by their number, so rows that share an id or have none are judged like any
+    other: a group's rows without an id give way to those with one, and of several rows with the
+    smallest id the first in the scan stays.
     """
-    placed = documents_with_components(docs.select("doc_id", "text"))
-    kept = placed.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    nameless = docs.filter(F.col("doc_id").isNull())
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__first", first)
-    return (
-        named.filter(F.col("__first") == 1).select(*docs.columns)
-        .unionByName(nameless.select(*docs.columns))
-    )
+    rows = common.with_stored_row(docs, "simhash")
+    prints = cut_lineage(with_fingerprint(rows.select(common.ROW, "doc_id", "text")).drop("text"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", common.ROW)
+    kept = _rooted(prints).groupBy("root").agg(F.min_by(common.ROW, order).alias(common.ROW))
+    return rows.join(kept, common.ROW, "left_semi").select(*docs.columns)

@@ -121,3 +121,16 @@ def test_filter(spark, sf, edge_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.uncontaminated(edge_docs, none).count() == edge_docs.count()
     assert decontaminate.uncontaminated(edge_docs.filter(F.lit(False)), items).count() == 0
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_that_share_an_id_are_judged_alone(spark, key):
+    words = ITEM.split()
+    clean, halves = "nothing of the kind stands here at all", [" ".join(words[:14]), " ".join(words[14:])]
+    rows = [(key, t) for t in (ITEM, clean, *halves)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    options = decontaminate.TemplateOptions(min_coverage=0.6)
+    assert decontaminate.contamination(docs, bench, options).count() == 1
+    kept = decontaminate.uncontaminated(docs, bench, options)
+    assert sorted(r["text"] for r in kept.collect()) == sorted([clean, *halves])

@@ -134,3 +134,10 @@ def test_survivors(edge_docs, documents, no_docs):
     ids = sorted(r["doc_id"] for r in simhash.survivors(edge_docs).filter("doc_id is not null").collect())
     assert len(ids) == len(set(ids)) and {1, 2, 5, 6} <= set(ids) and 3 not in ids
     assert simhash.survivors(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_survivors_that_share_an_id(spark, key):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("left", "right"))
+    docs = spark.createDataFrame([(key, a), (key, a), (key, b)], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.survivors(docs).collect()) == [a, b]
