@@ -1279,9 +1279,12 @@ def _(spark, sf):
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    folder = sf_dir.rstrip("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # A file stream reads folders, so a single file is picked by its name.
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
 
 
 @query("stream_dedupe", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
@@ -1295,8 +1298,8 @@ def _(spark, sf):
 @query("stream_counts", None)
 def _(spark, sf):
     timed = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = arrivals.counts_per_window(timed, "1 hour", "0 seconds", "event_type")
-    return arrivals.finished(counts, spark, "stream-counts")
+    counts = arrivals.counts_per_window(timed, "1 hour", None, "event_type")
+    return arrivals.last_updates(counts, spark, "stream-counts", ["starts", "event_type"])
 
 
 @query("stream_versions", """SELECT source_url, event_id, sha256 FROM (SELECT *, lag(sha256) OVER (PARTITION BY source_url ORDER BY observed_at, event_id)

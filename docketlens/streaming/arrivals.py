@@ -31,10 +31,27 @@ def distinct_observations(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-def counts_per_window(stream: DataFrame, width: str, late: str, column: str) -> DataFrame:
-    """Event counts in tumbling windows; rows later than ``late`` are not waited for."""
+def last_updates(stream: DataFrame, spark: SparkSession, name: str, keys: list[str]) -> DataFrame:
+    """The last state of each key of an aggregate over all that is available, open windows included."""
+    out, offsets = fresh_path(spark, name), fresh_path(spark, f"{name}-offsets")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", offsets)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.option("basePath", out).schema(stream.schema.add("batch", "long")).parquet(f"{out}/batch=*")
+    return first_of(rows, keys, [F.desc("batch")]).select(*stream.columns)
+
+
+def counts_per_window(stream: DataFrame, width: str, late: str | None, column: str) -> DataFrame:
+    """Event counts in tumbling windows; rows later than ``late`` are not waited for, without it none is dropped."""
+    timed = stream if late is None else stream.withWatermark("ts", late)
     return (
-        stream.withWatermark("ts", late).groupBy(F.window("ts", width), column)
+        timed.groupBy(F.window("ts", width), column)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("starts"), column, "n")
     )

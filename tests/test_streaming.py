@@ -44,3 +44,23 @@ def test_backfill_keeps_known_dates(spark, tmp_path):
     )
     got = {r["id"]: (str(r["starts_on"]), str(r["ends_on"]), r["conflict"]) for r in arrivals.backfilled(found, meetings, spark).collect()}
     assert got == {"u": ("2020-01-02", "2020-01-02", False), "v": ("2001-01-01", "2020-01-02", True), "n": ("None", "None", False)}
+
+
+def test_counts_hold_every_window_out_of_order(spark, tmp_path):
+    hours = [[(1, 9), (2, 9), (3, 9)], [(4, 2), (5, 9)], [(6, 2)]]
+    for i, rows in enumerate(hours):
+        spark.createDataFrame(rows, "id long, h long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    ts = F.timestamp_seconds(F.col("h") * 3600)
+    stream = spark.readStream.schema("id long, h long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    counts = arrivals.counts_per_window(stream.withColumn("ts", ts), "1 hour", None, "h")
+    got = arrivals.last_updates(counts, spark, "counts", ["starts", "h"])
+    assert sorted((r["h"], r["n"]) for r in got.collect()) == [(2, 2), (9, 4)]
+
+
+def test_event_stream_of_a_folder(spark, sf, tmp_path):
+    from docketlens.plans import queries
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["stream_counts"](spark, str(tmp_path))
+    want = spark.read.parquet(f"{sf}/events.parquet")
+    assert got.agg(F.sum("n")).first()[0] == want.count() > 0
