@@ -16,6 +16,7 @@ from .chat import op3_chat_format
 from .packing import op7_packing
 from .pii import op9_pii
 from .simhash import op10_simhash
+from .merkle import OP11_SQL, op11_merkle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_cascade": op8_quality_cascade,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_lists": OP4_SQL}
+    return {"op4_url_lists": OP4_SQL, "op11_merkle": OP11_SQL}
