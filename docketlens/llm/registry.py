@@ -17,6 +17,8 @@ from .packing import op7_packing
 from .pii import op9_pii
 from .simhash import op10_simhash
 from .merkle import OP11_SQL, op11_merkle
+from .minhash import OP12_SQL, op12_minhash
+from .ranked_search import OP13_SQL, op13_ranked_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,8 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
         "op11_merkle": op11_merkle,
+        "op12_minhash": op12_minhash,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_lists": OP4_SQL, "op11_merkle": OP11_SQL}
+    return {"op4_url_lists": OP4_SQL, "op11_merkle": OP11_SQL, "op12_minhash": OP12_SQL,
+            "op13_ranked_search": OP13_SQL}
