@@ -32,6 +32,14 @@ def _joined(rows: DataFrame, least: DataFrame, hub_degree: int) -> DataFrame:
     return rows.join(hubs, "u").unionByName(plain)
 
 
+def with_least(rows: DataFrame, key: str, value: str, output: str) -> DataFrame:
+    """``rows`` with the least ``value`` of their ``key``; rows of very frequent keys stay where they lie."""
+    named = rows.withColumnRenamed(key, "u")
+    least = named.groupBy("u").agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
+    degree = _hub_degree(rows.count() // 2)
+    return _joined(named, least, degree).withColumnRenamed("u", key).withColumnRenamed("m", output)
+
+
 def _large_star(edges: DataFrame, hub_degree: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(

@@ -1,16 +1,17 @@
 """Near-duplicates by b-bit MinHash, confirmed on full shingle sets.
 
 A document's set are its distinct 4-word shingles, as 64-bit hashes. Each distinct set is handled once, so
-exact copies cost one row. Of ``HASHES`` minima per set, bands of ``BAND_ROWS`` give bucket keys, and
-``BITS`` bits of each minimum are packed into a signature. Sets that share a bucket are candidates; equal
-bits are counted by XOR and bit counts, chance collisions are subtracted (``similarity``), and pairs below
-a cut go. The cut and the number of bands are such that a pair at the limit is lost with a probability
-below 1e-8 (``MISS`` for the cut). Pairs that pass are confirmed by intersecting the full sets.
+exact copies cost one row. ``HASHES`` minima per set form bands of ``BAND_ROWS``, whose hashes are bucket keys;
+sets that share a bucket are candidates. A signature keeps only ``BITS`` bits of the least hash in each of
+``BINS`` ranges of hash values, and none for a range without a hash. Equal places are counted by XOR and bit counts, places
+that are equal by chance are corrected for (``similarity``), and pairs below a cut go. The cut and the number of
+bands are such that a pair at the limit is lost with a probability below 1e-8 (``MISS`` for the cut). Pairs that
+pass are confirmed by intersecting the full sets.
 
 No bucket gives its pairs. First every set of a bucket meets one pivot. Later rounds look only at buckets
 that still hold sets of several components, and there only at pairs of different components: each set that
 is not in the pivot's component is compared with the others by its signature and sends its best partners,
-more in each round, until none is held back. Then every candidate pair between different components has
+more in each round, until none is held back. Of several shared buckets the first one sends a pair. Then every candidate pair between different components has
 been tested, so no link between different components is lost, while links inside one are not needed.
 Large buckets are cut into tiles, so a task holds two blocks of signatures.
 
@@ -23,8 +24,8 @@ row is kept); equal ids stay rows of their own. An empty table gives no rows. Fu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from math import comb
+from functools import lru_cache, reduce
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, map_in_arrow
 from . import common
-from .components import connected_components
+from .components import connected_components, with_least
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -45,15 +46,16 @@ BAND_ROWS = 4
 BANDS = 40
 HASHES = BANDS * BAND_ROWS
 BITS = 4
+BINS = 512
 #: Probability that the bit count loses a pair that is exactly at the limit.
 MISS = 1e-9
 #: Shingles whose minima are taken at a time.
 BLOCK_SHINGLES = 8192
 #: Sets per side of a tile, and signature comparisons at a time.
-TILE = 4096
-RUN_PAIRS = 1 << 18
-#: Partners of a set in the first full round; each further round allows 16 times as many.
-PARTNERS = 8
+TILE = 1024
+RUN_PAIRS = 1 << 16
+#: Partners of a set in the first round of a bucket; each further round allows 16 times as many.
+PARTNERS = 256
 #: Keys up to which a list of texts is broadcast; a longer one is joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
@@ -122,35 +124,52 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys.T.view(np.int64)
 
 
-def signatures(least: np.ndarray) -> np.ndarray:
-    """Sets x packed bytes: ``BITS`` bits of each minimum."""
-    bits = ((least >> np.uint64(20)) & np.uint64(2**BITS - 1)).astype(np.uint8).T
-    return np.ascontiguousarray(bits[:, ::2] | bits[:, 1::2] << BITS)
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Sets x packed bytes: ``BITS`` bits, 1 and above, of the least hash of each bin; 0 for an empty bin."""
+    codes = np.zeros((len(sets), BINS), dtype=np.uint8)
+    for row, hashes in zip(codes, sets, strict=True):
+        if len(hashes):
+            bins = (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])  # the hashes are sorted
+            row[bins[first]] = 1 + (hashes[first] >> np.uint64(20)) % np.uint64(2**BITS - 1)
+    return codes[:, ::2] | codes[:, 1::2] << BITS
 
 
-def equal_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many minima have equal bits, from packed signatures as 64-bit words in the last dimension."""
-    differ = a ^ b
-    differ |= differ >> np.uint64(1)
-    differ |= differ >> np.uint64(2)
-    return HASHES - np.bitwise_count(differ & _NIBBLES).sum(axis=-1, dtype=np.int64)
+def _filled(words: np.ndarray) -> np.ndarray:
+    """How many places of packed words are not 0; overwrites the words."""
+    words |= words >> np.uint64(1)
+    words |= words >> np.uint64(2)
+    words &= _NIBBLES
+    return np.bitwise_count(words).sum(axis=-1, dtype=np.int64)
 
 
-def similarity(equal: np.ndarray | float) -> np.ndarray | float:
-    """Similarity from equal places, corrected for bits that are equal by chance."""
-    chance = 2.0**-BITS
-    return (equal / HASHES - chance) / (1 - chance)
+def equal_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where both signatures have the same bits, and places where at least one has any."""
+    either = _filled(a | b)
+    return either - _filled(a ^ b), either
 
 
-def least_equal(percent: int = PERCENT, miss: float = MISS) -> int:
-    """Equal places that a pair at the limit falls below with probability ``miss`` at most."""
-    p = 2.0**-BITS + (1 - 2.0**-BITS) * percent / 100
-    below = 0.0
-    for equal in range(HASHES):
-        below += comb(HASHES, equal) * p**equal * (1 - p) ** (HASHES - equal)
-        if below > miss:
-            return equal
-    return HASHES
+def similarity(equal: np.ndarray | float, either: np.ndarray | float) -> np.ndarray | float:
+    """Similarity from equal places, corrected for bits that are equal by chance."""
+    chance = 1 / (2.0**BITS - 1)
+    return (equal / np.maximum(either, 1) - chance) / (1 - chance)
+
+
+@lru_cache
+def least_equal(percent: int = PERCENT, miss: float = MISS) -> np.ndarray:
+    """For each number of filled places the equal ones that a pair at the limit falls below with
+    probability ``miss`` at most. Chance only adds equal places, so it is left out here."""
+    p, found = percent / 100, []
+    for n in range(BINS + 1):
+        below, equal = 0.0, 0
+        while equal < n:
+            ways = lgamma(n + 1) - lgamma(equal + 1) - lgamma(n - equal + 1)
+            below += exp(ways + equal * log(p) + (n - equal) * log(1 - p)) if p < 1 else 0.0
+            if below > miss:
+                break
+            equal += 1
+        found.append(equal)
+    return np.array(found)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,22 +180,24 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingle_hashes(t) for t in texts.slice(begin, end - begin).to_pylist()]
             least = minima(sets)
             digests = [set_digest(s) for s in sets]
+            keys = band_keys(least)
+            marks = (keys & 0xFFFFFFFF).astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(begin, end - begin), batch.column("text_key").slice(begin, end - begin),
                  pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
                  pa.array([d[1] for d in digests], pa.int64()),
-                 pa.array([s.tobytes() for s in signatures(least)], pa.binary()),
-                 pa.array(list(band_keys(least)), pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "n_shingles", "hi", "lo", "signature", "bands"],
+                 pa.array([s.tobytes() for s in signatures(sets)], pa.binary()),
+                 pa.array(list(keys), pa.list_(pa.int64())), pa.array([k.tobytes() for k in marks], pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "hi", "lo", "signature", "bands", "marks"],
             )
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Every row's set: size, 128-bit digest, packed signature and bucket keys."""
+    """Every row's set: size, 128-bit digest, packed signature, bucket keys and their lower halves (``marks``)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     return rows.transform(
         map_in_arrow, _described,
-        "doc_id long, text_key long, n_shingles long, hi long, lo long, signature binary, bands array<long>",
+        "doc_id long, text_key long, n_shingles long, hi long, lo long, signature binary, bands array<long>, marks binary",
     )
 
 
@@ -185,7 +206,7 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
     return cut_lineage(
         rows.filter("n_shingles > 0").groupBy("hi", "lo").agg(
             F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"),
-            F.min("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"),
+            F.min("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("marks").alias("marks"),
         ).withColumn("node", F.monotonically_increasing_id())
     )
 
@@ -201,23 +222,20 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(len(column), -1)
+def _words(column: pa.Array, kind: str = "<u8") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)`` pairs whose sizes and signatures allow the limit, with ``equal`` places."""
+    """``(a, b)`` pairs whose sizes and signatures allow the limit."""
     cut = least_equal(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                equal = equal_places(_words(batch.column("sig_a")), _words(batch.column("sig_b")))
-                near = pa.array(equal >= cut)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").filter(near), batch.column("b").filter(near), pa.array(equal[equal >= cut])],
-                    names=["a", "b", "equal"],
-                )
+                equal, either = equal_places(_words(batch.column("sig_a")), _words(batch.column("sig_b")))
+                near = pa.array(equal >= cut[either])
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
 
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
@@ -225,7 +243,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(
         _similar_sizes(F.col("n_a"), F.col("n_b"), percent)
     )
-    return joined.select("a", "b", "sig_a", "sig_b").transform(map_in_arrow, run, "a long, b long, equal long")
+    return joined.select("a", "b", "sig_a", "sig_b").transform(map_in_arrow, run, "a long, b long")
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -239,7 +257,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [_words(batch.column("signature"))]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        columns += [_words(batch.column("signature")), _words(batch.column("marks"), "<u4")]
         change = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
         if held and (held[-1][0][-1] != columns[0][0] or held[-1][1][-1] != columns[1][0]):
             yield joined()
@@ -270,7 +289,7 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, partners
     split = F.ceil(F.col("size") / tile).cast("int")
     blocks = F.sequence(F.lit(0), split - 1)
     askers = F.sequence(F.lit(0), F.ceil(F.col("outside") / tile).cast("int") - 1)
-    rows = labelled.join(mixed, "key").join(nodes.select("node", "n", "signature"), "node")
+    rows = labelled.join(mixed, "key").join(nodes.select("node", "n", "signature", "marks"), "node")
 
     def dealt(parts: Column) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
@@ -280,20 +299,24 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, partners
         "row", dealt(F.ceil(F.col("outside") / tile))
     )
     tiles = asked.unionByName(asks).select(
-        "key", (F.col("row").cast("long") * 1_000_000_007 + F.col("col")).alias("tile"), "asks", "node", "root", "n", "signature"
+        "key", (F.col("row").cast("long") * 1_000_000_007 + F.col("col")).alias("tile"), "asks", "node", "root", "n", "signature", "marks"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, ask, node, root, n, words in _tiles(batches):
+        for key, _, ask, node, root, n, words, marks in _tiles(batches):
+            own_mark = np.uint32(key[0] & 0xFFFFFFFF)
             wanted, base = np.flatnonzero(ask), np.flatnonzero(~ask)
             step = max(1, RUN_PAIRS // max(1, len(base)))
             for at in range(0, len(wanted), step):
                 some = wanted[at : at + step]
-                equal = equal_places(words[some, None, :], words[None, base, :])
+                equal, either = equal_places(words[some, None, :], words[None, base, :])
                 small, large = np.minimum(n[some, None], n[None, base]), np.maximum(n[some, None], n[None, base])
-                equal[(root[some, None] == root[None, base]) | (100 * small < percent * large)] = 0
-                left, right = np.nonzero(equal >= cut)
-                value = equal[left, right]
+                apart = (root[some, None] != root[None, base]) & (100 * small >= percent * large)
+                left, right = np.nonzero((equal >= cut[either]) & apart)
+                shared = marks[some[left]] == marks[base[right]]
+                first = marks[some[left], shared.argmax(axis=1)] == own_mark
+                left, right = left[first], right[first]
+                value = similarity(equal[left, right], either[left, right])
                 order = np.lexsort((node[base][right], -value, left))
                 left, right = left[order], right[order]
                 place = np.arange(len(left)) - np.searchsorted(left, left)
@@ -361,26 +384,23 @@ def set_components(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, pa
                    tile: int = TILE) -> DataFrame:
     """``node, root`` of every distinct set that is linked with another one and is not the root itself."""
     buckets = shared_buckets(nodes)
+    sets = full_sets(docs, nodes, buckets.select("node").distinct())
     stars = buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    best = cut_lineage(
-        near_pairs(stars, nodes, percent).groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-    )
-    # Sets that no pivot matches: do they match anything else? Only those and the above need full sets.
-    loose = cut_lineage(cross_pairs(buckets, nodes, _components([best]), 1, percent, tile))
-    first = best.unionByName(loose.select("a", "b"))
-    sets = full_sets(docs, nodes, first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    tested = cut_lineage(first.distinct())
+    tested = cut_lineage(near_pairs(stars, nodes, percent))
     links = [cut_lineage(confirmed(tested, sets, percent))]
     while True:
         roots = _components(links)
         found = cut_lineage(cross_pairs(buckets, nodes, roots, partners, percent, tile))
         fresh = found.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        links.append(cut_lineage(confirmed(fresh, sets, percent)))
-        if not found.filter("more").limit(1).count():
-            break
+        new = cut_lineage(confirmed(fresh, sets, percent))
+        more = found.filter("more").limit(1).count()
+        if new.limit(1).count():
+            links.append(new)
+            roots = None
+        if not more:
+            return _components(links) if roots is None else roots
         tested = cut_lineage(tested.unionByName(found.select("a", "b")).distinct())
         partners *= 16
-    return _components(links)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, partners: int = PARTNERS, tile: int = TILE) -> DataFrame:
@@ -391,8 +411,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, partners: int = PAR
     placed = nodes.select("node", "hi", "lo", "first_id").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
-    least = placed.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = placed.join(least, "root").select("hi", "lo", "least_id")
+    named = with_least(cut_lineage(placed), "root", "first_id", "least_id").select("hi", "lo", "least_id")
     blank = F.col("n_shingles") == 0
     given = rows.select("doc_id", "n_shingles", "hi", "lo")
     linked = given.filter(~blank).join(named, ["hi", "lo"]).select("doc_id", "n_shingles", F.col("least_id").alias("component_id"))
