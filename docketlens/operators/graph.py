@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..session import cut_lineage
+from . import cycles
 
 _FACT = "array<struct<type:string,entity:string,label:string,predicate:string,placeholder:boolean>>"
 
@@ -128,14 +129,21 @@ def within(all_edges: DataFrame, some_nodes: DataFrame) -> DataFrame:
 
 
 def chain_places(links: DataFrame) -> DataFrame:
-    """``(id, previous)`` to ``(id, root, depth, is_cyclic)``, see ``chain_jumps``."""
-    return chain_jumps(links)[0]
+    """``(id, previous)`` to ``(id, root, depth, is_cyclic)`` with all predecessors kept, see ``cycles.places``."""
+    return cycles.places(links)
+
+
+def revision_links(all_edges: DataFrame) -> DataFrame:
+    """``(src, dst)`` of the ``revises`` edges between documents."""
+    return all_edges.filter(
+        (F.col("predicate") == "revises") & (F.col("source_type") == "tdoc") & (F.col("target_type") == "tdoc")
+    ).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
 
 
 def chain_jumps(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Places of all documents, and per round the predecessor 1, 2, 4, ... steps before each.
+    """Places of documents with one predecessor each, and per round the predecessor 1, 2, 4, ... steps before.
 
-    ``(id, previous)`` to ``(id, root, depth, is_cyclic)`` by pointer doubling.
+    Of several predecessors the smallest counts. ``(id, previous)`` to ``(id, root, depth, is_cyclic)`` by pointer doubling.
 
     ``depth`` counts the documents from the root to the row, root included. After about log2 of the
     longest chain every pointer has left its chain; pointers that have not within log2 of all rows
@@ -257,13 +265,16 @@ def dated(all_edges: DataFrame, documents: DataFrame, meetings: DataFrame) -> Da
 
 
 def validated(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
-    """One row of graph counts and faults; a valid graph has no fault and is not empty."""
-    faults = orphans(all_edges, all_nodes).agg(F.count(F.lit(1)).alias("n"))
-    parts = {"nodes": all_nodes.agg(F.count(F.lit(1)).alias("n")),
-             "edges": all_edges.agg(F.count(F.lit(1)).alias("n")), "faults": faults}
+    """One row of graph counts and faults; a valid graph has no fault, no revision cycle and is not empty."""
+    circular = cycles.strong_components(revision_links(all_edges)).select("component").distinct()
+    parts = {name: rows.agg(F.count(F.lit(1)).alias("n")) for name, rows in {
+        "nodes": all_nodes, "edges": all_edges, "faults": orphans(all_edges, all_nodes), "cycles": circular,
+    }.items()}
     rows = None
     for name, one in parts.items():
         named = one.select(F.lit(name).alias("what"), "n")
         rows = named if rows is None else rows.unionByName(named)
     counts = rows.agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in parts])
-    return counts.withColumn("valid", (F.col("nodes") > 0) & (F.col("edges") > 0) & (F.col("faults") == 0))
+    return counts.withColumn(
+        "valid", (F.col("nodes") > 0) & (F.col("edges") > 0) & (F.col("faults") + F.col("cycles") == 0)
+    )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
-from ..operators import blocks, graph, lifecycle, retrieval, search
+from ..operators import blocks, cycles, graph, lifecycle, retrieval, search
+from ..session import cut_lineage
 from ..sources import listings
 from ..streaming import arrivals
 from .domain import derive, read
@@ -143,12 +144,71 @@ def _(spark, sf):
 
 
 @query("graph_validation", f"""WITH {_FACTS}, {_NODES}, {_EDGES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges,
-  CAST(0 AS BIGINT) AS faults, true AS valid""", "meetings", "tdocs")
+  CAST(0 AS BIGINT) AS faults, CAST(0 AS BIGINT) AS cycles, true AS valid""", "meetings", "tdocs")
 def _(spark, sf):
     found = found_facts(spark, sf)
     return graph.validated(graph.nodes(found, derive(spark, sf, "meetings")), graph.edges(found))
 
 
+#: Revision links with planted faults: documents with a second, older predecessor, and documents that
+#: their own predecessor revises.
+_LINKS = """links AS (SELECT id AS src, revised_from AS dst FROM tdocs WHERE revised_from IS NOT NULL
+  UNION SELECT t.id, p.revised_from FROM tdocs t JOIN tdocs p ON t.revised_from = p.id WHERE t.seq % 5 = 0 AND p.revised_from IS NOT NULL
+  UNION SELECT revised_from, id FROM tdocs WHERE seq % 23 = 0 AND revised_from IS NOT NULL)"""
+_STRONG = """reach AS (SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reach r JOIN links l ON r.dst = l.src),
+  strong AS (SELECT a.src AS id, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"""
+
+
+def planted_links(spark: SparkSession, sf_dir: str, cyclic: bool = True) -> DataFrame:
+    tdocs = derive(spark, sf_dir, "tdocs").filter("revised_from is not null").select("id", "seq", "revised_from")
+    older = tdocs.select(F.col("id").alias("revised_from"), F.col("revised_from").alias("older"))
+    links = tdocs.select(F.col("id").alias("src"), F.col("revised_from").alias("dst")).unionByName(
+        tdocs.filter("seq % 5 = 0").join(older, "revised_from").select(F.col("id").alias("src"), F.col("older").alias("dst"))
+    )
+    if cyclic:
+        links = links.unionByName(tdocs.filter("seq % 23 = 0").select(F.col("revised_from").alias("src"), F.col("id").alias("dst")))
+    return links.distinct()
+
+
+@query("graph_validation_cyclic", f"""WITH RECURSIVE {_FACTS}, {_NODES}, {_EDGES}, {_LINKS}, {_STRONG},
+  more AS (SELECT src, dst FROM links EXCEPT SELECT source_id, target_id FROM edges WHERE predicate = 'revises')
+  SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) + (SELECT count(*) FROM more) AS edges, CAST(0 AS BIGINT) AS faults,
+    (SELECT count(DISTINCT component) FROM strong) AS cycles, (SELECT count(*) FROM strong) = 0 AS valid""", "meetings", "tdocs")
+def _(spark, sf):
+    found = found_facts(spark, sf)
+    planted = planted_links(spark, sf).select(
+        F.lit("tdoc").alias("source_type"), F.col("src").alias("source_id"), F.lit("revises").alias("predicate"),
+        F.lit("tdoc").alias("target_type"), F.col("dst").alias("target_id"),
+    )
+    edges = graph.edges(found)
+    edges = edges.unionByName(planted.withColumn("id", F.concat_ws("|", "source_id", "target_id"))).dropDuplicates(
+        ["source_type", "source_id", "predicate", "target_type", "target_id"]
+    )
+    return graph.validated(graph.nodes(found, derive(spark, sf, "meetings")), edges)
+
+
+@query("revision_components", f"WITH RECURSIVE {_LINKS}, {_STRONG} SELECT id, component FROM strong", "tdocs")
+def _(spark, sf):
+    return cycles.strong_components(planted_links(spark, sf))
+
+
+# Which of several cycles is shown is a choice that SQL does not make; tests check that each is one.
+@query("cycle_witnesses")
+def _(spark, sf):
+    links = cut_lineage(planted_links(spark, sf))
+    return cycles.witnesses(links, cut_lineage(cycles.strong_components(links)))
+
+
+@query("revision_places", f"""WITH RECURSIVE {_LINKS[:_LINKS.rindex('UNION')] + ')'},
+  walk AS (SELECT id, id AS root, CAST(1 AS BIGINT) AS depth FROM tdocs WHERE id NOT IN (SELECT src FROM links)
+    UNION SELECT l.src, w.root, w.depth + 1 FROM walk w JOIN links l ON l.dst = w.id)
+  SELECT id, min(root) AS root, max(depth) AS depth, false AS is_cyclic FROM walk GROUP BY id""", "tdocs")
+def _(spark, sf):
+    every = derive(spark, sf, "tdocs").select("id", F.lit(None).cast("string").alias("previous"))
+    links = planted_links(spark, sf, cyclic=False).select(F.col("src").alias("id"), F.col("dst").alias("previous"))
+    return graph.chain_places(every.unionByName(links))
+
+
 @query("search_graph", f"""WITH {_FACTS} SELECT DISTINCT concat('tdoc:', tdoc_id) AS source, predicate, concat(type, ':', entity) AS target FROM facts
   WHERE predicate IN ('submitted_by', 'affects_spec') AND tdoc_id IN (SELECT id FROM tdocs WHERE contains(lower(title), 'rod'))""", "tdocs")
 def _(spark, sf):

@@ -59,6 +59,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` as a written table in the shared folder.
+
+    Like ``cut_lineage``, for loops of many rounds: a checkpoint hands the plan's constraints and size
+    estimates on to the next round, and they grow from round to round; a table has neither.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
