@@ -14,6 +14,8 @@ from ..session import cut_lineage
 
 #: At most so many hub nodes are handled apart from the others.
 HUBS = 1000
+#: Edges of one partition between rounds, so that small graphs do not shuffle in many tiny files.
+PART_EDGES = 100_000
 
 
 def _hub_degree(edges: int) -> int:
@@ -69,11 +71,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     seen = None
-    hub_degree = _hub_degree(current.count())
+    count = current.count()
+    hub_degree, parts = _hub_degree(count), max(1, -(-count // PART_EDGES))
     while True:
         # The large-star result is read several times, so it is written once.
-        wide = cut_lineage(_large_star(current, hub_degree))
-        current = cut_lineage(_small_star(wide, hub_degree))
+        wide = cut_lineage(_large_star(current, hub_degree).coalesce(parts))
+        current = cut_lineage(_small_star(wide, hub_degree).coalesce(parts))
         state = current.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"),

@@ -46,7 +46,7 @@ BAND_ROWS = 4
 BANDS = 40
 HASHES = BANDS * BAND_ROWS
 BITS = 4
-BINS = 512
+BINS = 1024
 #: Probability that the bit count loses a pair that is exactly at the limit.
 MISS = 1e-9
 #: Shingles whose minima are taken at a time.
@@ -54,8 +54,8 @@ BLOCK_SHINGLES = 8192
 #: Sets per side of a tile, and signature comparisons at a time.
 TILE = 1024
 RUN_PAIRS = 1 << 16
-#: Partners of a set in the first round of a bucket; each further round allows 16 times as many.
-PARTNERS = 256
+#: Partners of a set in the first round of a bucket; each further round allows 8 times as many.
+PARTNERS = 4
 #: Keys up to which a list of texts is broadcast; a longer one is joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
@@ -155,6 +155,16 @@ def similarity(equal: np.ndarray | float, either: np.ndarray | float) -> np.ndar
     return (equal / np.maximum(either, 1) - chance) / (1 - chance)
 
 
+def is_near(equal: np.ndarray, either: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether signatures allow the limit; ``sizes``: the sum of both sets' sizes.
+
+    A place differs only through a hash that one set lacks, and at the limit those are few: that bound is exact
+    and the sharper one for small sets. For large ones the count of equal places is.
+    """
+    apart = sizes * (100 - percent) // (100 + percent)
+    return (equal >= least_equal(percent)[either]) & (either - equal <= apart)
+
+
 @lru_cache
 def least_equal(percent: int = PERCENT, miss: float = MISS) -> np.ndarray:
     """For each number of filled places the equal ones that a pair at the limit falls below with
@@ -228,13 +238,11 @@ def _words(column: pa.Array, kind: str = "<u8") -> np.ndarray:
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``(a, b)`` pairs whose sizes and signatures allow the limit."""
-    cut = least_equal(percent)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 equal, either = equal_places(_words(batch.column("sig_a")), _words(batch.column("sig_b")))
-                near = pa.array(equal >= cut[either])
+                near = pa.array(is_near(equal, either, batch.column("sizes").to_numpy(), percent))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
 
     def side(name: str) -> DataFrame:
@@ -243,7 +251,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(
         _similar_sizes(F.col("n_a"), F.col("n_b"), percent)
     )
-    return joined.select("a", "b", "sig_a", "sig_b").transform(map_in_arrow, run, "a long, b long")
+    return joined.select("a", "b", "sig_a", "sig_b", (F.col("n_a") + F.col("n_b")).alias("sizes")).transform(map_in_arrow, run, "a long, b long")
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -280,7 +288,6 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, partners
     Each set outside of its bucket's pivot component sends its ``partners`` best candidates of a tile;
     ``more`` says that it held others back. ``roots``: ``node, root`` of sets that are not their own root.
     """
-    cut = least_equal(percent)
     labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     pivots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     labelled = labelled.join(pivots, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
@@ -312,7 +319,8 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, partners
                 equal, either = equal_places(words[some, None, :], words[None, base, :])
                 small, large = np.minimum(n[some, None], n[None, base]), np.maximum(n[some, None], n[None, base])
                 apart = (root[some, None] != root[None, base]) & (100 * small >= percent * large)
-                left, right = np.nonzero((equal >= cut[either]) & apart)
+                near = is_near(equal, either, n[some, None] + n[None, base], percent)
+                left, right = np.nonzero(near & apart)
                 shared = marks[some[left]] == marks[base[right]]
                 first = marks[some[left], shared.argmax(axis=1)] == own_mark
                 left, right = left[first], right[first]
@@ -377,7 +385,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _components(links: list[DataFrame]) -> DataFrame:
     edges = reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return cut_lineage(connected_components(edges))
+    return connected_components(edges)
 
 
 def set_components(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, partners: int = PARTNERS,
@@ -400,7 +408,7 @@ def set_components(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, pa
         if not more:
             return _components(links) if roots is None else roots
         tested = cut_lineage(tested.unionByName(found.select("a", "b")).distinct())
-        partners *= 16
+        partners *= 8
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, partners: int = PARTNERS, tile: int = TILE) -> DataFrame:
