@@ -28,8 +28,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_share(key: Column, salt: str) -> Column:
-    """A repeatable number in [0, 1) per key."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1_000_003)) / 1_000_003
+    """A number in [0, 1) per row, repeatable for rows read in the same order.
+
+    The row's number takes part, so rows that share a key or have none are drawn one by one.
+    """
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id(), key, F.lit(salt)), F.lit(1_000_003)) / 1_000_003
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Column with a row's own number, apart from any name in the tables.
@@ -41,14 +52,23 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+#: Column that holds all columns of a stored row, so that no helper column can clash with them.
+DOC = "doc"
+
+
 def with_stored_row(df: DataFrame, name: str) -> DataFrame:
-    """Numbered rows written once, so that every later read sees the same numbers."""
+    """``ROW`` and ``DOC`` of every row, written once, so that every later read sees the same numbers."""
     path = fresh_path(df.sparkSession, f"{name}-rows")
-    numbered = with_row(df)
+    numbered = df.select(F.monotonically_increasing_id().alias(ROW), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(DOC))
     numbered.write.parquet(path)
     return df.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
+def columns_of(rows: DataFrame, *names: str) -> DataFrame:
+    """``ROW`` and the named columns of stored rows."""
+    return rows.select(ROW, *[F.col(f"{DOC}.{n}").alias(n) for n in names])
+
+
 def append_columns(
     df: DataFrame, outputs: str, start: Callable[[], Callable[[dict, int], list]],
     inputs: tuple[str, ...],

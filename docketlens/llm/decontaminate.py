@@ -12,6 +12,9 @@ Window hashes of the documents first meet a bitmap of the benchmark's hashes, wh
 (``max_bits``), so only windows that very likely match are shuffled; the join then compares hash
 and template text, so the bitmap never decides. Beyond its bound the bitmap only lets more through.
 
+An item counts from half of its windows on (``min_coverage``), an item of few windows (``few_windows``) only
+if all of them match, since one generic window is no copy of it.
+
 Windows need ``min_literals`` words that are no placeholders; an item shorter than the window is one
 window of its own length. An item with at most one such window is also looked for word by word: its plain
 windows (lower-cased words, no placeholders, no minimum) are joined in the same way, and the better of
@@ -64,6 +67,8 @@ class TemplateOptions:
     window: int = 5
     min_literals: int = 3
     min_coverage: float = 0.5
+    #: An item of at most so many windows counts only if all of them match.
+    few_windows: int = 3
     max_bits: int = 27
     vocabulary: int = 1 << 19
 
@@ -284,7 +289,10 @@ def item_windows(items: DataFrame, options: TemplateOptions) -> DataFrame:
 
 
 def _bitmap(windows: DataFrame, options: TemplateOptions) -> tuple[int, bytes]:
-    """Packed bits of the benchmark's hashes; at most ``2**max_bits`` bits (16 MB)."""
+    """Packed bits of the benchmark's hashes; at most ``2**max_bits`` bits (16 MB).
+
+    The filled words come to the driver as Arrow columns of 16 bytes a word, so at most twice the bitmap.
+    """
     n = windows.count()
     bits = min(options.max_bits, max(16, (64 * n).bit_length()))
     at = F.shiftrightunsigned("hash", 64 - bits)
@@ -292,11 +300,10 @@ def _bitmap(windows: DataFrame, options: TemplateOptions) -> tuple[int, bytes]:
         windows.select(F.shiftrightunsigned(at, 6).alias("word"),
                        F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")
                        .alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("filled")).collect()
+        .groupBy("word").agg(F.bit_or("bit").alias("filled")).toArrow()
     )
     packed = np.zeros(1 << (bits - 6), dtype=np.int64)
-    for row in words:
-        packed[row["word"]] = row["filled"]
+    packed[words.column("word").to_numpy()] = words.column("filled").to_numpy()
     return bits, packed.tobytes()
 
 
@@ -313,7 +320,9 @@ def contamination(
 def _row_contamination(docs: DataFrame, items: DataFrame, options: TemplateOptions) -> DataFrame:
     """``contamination`` of numbered rows, with the row's number."""
     spark = docs.sparkSession
-    bench = cut_lineage(item_windows(items, options))
+    # Items are told apart by their number, since ids may repeat or be missing.
+    numbered = cut_lineage(items.select(F.monotonically_increasing_id().alias("number"), "item_id", "text"))
+    bench = cut_lineage(item_windows(numbered.select(F.col("number").alias("item_id"), "text"), options))
     sizes = sorted((r["size"], r["plain"]) for r in bench.select("size", "plain").distinct().collect())
     shared = spark.sparkContext.broadcast(_bitmap(bench, options))
     found = _window_rows(
@@ -325,13 +334,13 @@ def _row_contamination(docs: DataFrame, items: DataFrame, options: TemplateOptio
         bench.alias("b"),
         (F.col("d.hash") == F.col("b.hash")) & (F.col("d.template") == F.col("b.template")),
     ).select(
-        f"d.{common.ROW}", "d.doc_id", F.col("b.id").alias("item_id"), "b.plain",
+        f"d.{common.ROW}", "d.doc_id", F.col("b.id").alias("number"), "b.plain",
         (F.col("d.position") - F.col("b.position")).alias("alignment"),
         F.col("b.position").alias("position"),
         F.arrays_zip(F.split("b.slots", "\x1f").alias("i"), F.split("d.slots", "\x1f").alias("d"))
         .alias("slots"),
     )
-    key = (common.ROW, "doc_id", "item_id")
+    key = (common.ROW, "doc_id", "number")
     aligned = joined.groupBy(*key, "plain", "alignment").agg(
         F.collect_set(F.struct("position", "slots")).alias("windows")
     )
@@ -361,14 +370,16 @@ def _row_contamination(docs: DataFrame, items: DataFrame, options: TemplateOptio
     covered = (
         per_item.join(
             totals.select(F.col("id").alias("item"), F.col("plain").alias("of_plain"), "item_windows"),
-            F.col("item_id").eqNullSafe(F.col("item")) & (F.col("plain") == F.col("of_plain")),
+            (F.col("number") == F.col("item")) & (F.col("plain") == F.col("of_plain")),
         )
         .withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
-        .filter(F.col("coverage") >= options.min_coverage)
+        .filter((F.col("coverage") >= options.min_coverage)
+                & ((F.col("item_windows") > options.few_windows) | (F.col("coverage") == 1)))
     )
     best = F.max(F.struct("coverage", "same", "matched_windows", "item_windows"))
-    return covered.groupBy(*key).agg(best.alias("best")).select(
-        *key, "best.matched_windows", "best.item_windows", "best.coverage",
+    judged = covered.groupBy(*key).agg(best.alias("best"))
+    return judged.join(numbered.select("number", "item_id"), "number").select(
+        common.ROW, "doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage",
         kind.alias("kind"),
     )
 
@@ -378,8 +389,9 @@ def uncontaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, whatever their ids."""
     rows = common.with_stored_row(docs, "decontaminate")
-    hit = _row_contamination(rows, items, options).select(common.ROW).distinct()
-    return rows.join(hit, common.ROW, "left_anti").select(*docs.columns)
+    found = _row_contamination(common.columns_of(rows, "doc_id", "text"), items, options)
+    hit = found.select(common.ROW).distinct()
+    return rows.join(hit, common.ROW, "left_anti").select(f"{common.DOC}.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ class Scorer:
 
 
 def labelled_sample(df: DataFrame, options: LanguageOptions) -> DataFrame:
-    """About ``rows_per_language`` rows of each language, chosen by a hash of the id.
+    """About ``rows_per_language`` rows of each language, drawn row by row.
 
     The languages' row counts reach the driver (the matrix bound limits them), so that no text is
     shuffled by its language.
@@ -224,8 +224,9 @@ def identified(docs: DataFrame) -> DataFrame:
     scorer = train(learnable(docs))
     if not scorer.languages:
         return docs
-    found = identify(docs, scorer, outputs=("__lang", "__share"))
-    return found.filter(is_kept(F.col("__lang"), F.col("__share"))).select(*docs.columns)
+    name, share = common.free_name(docs, "__lang"), common.free_name(docs, "__share")
+    found = identify(docs, scorer, outputs=(name, share))
+    return found.filter(is_kept(F.col(name), F.col(share))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,10 +343,14 @@ def _piece(chunks: Column, size: Column, begin: Column, end: Column) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``<KIND>`` and ``n_chars`` brought up to date.
 
-    The text is cut into chunks once, so that a span costs a chunk's length and not the text's.
+    The rows are numbered and stored first, since spans and texts are read apart and meet by that number.
+    The text is cut into chunks once, so that a span costs a chunk's length and not the text's. All other
+    columns, whatever their names, stay as they are.
     """
-    rows = numbered(docs)
-    found = spans(rows.select("row_id", "doc_id", "text")).filter(F.size("spans") > 0)
+    stored = common.with_stored_row(docs, "redact")
+    rows = stored.select(F.col(common.ROW).alias("row_id"), common.DOC, F.col(f"{common.DOC}.text").alias("text"))
+    found = spans(common.columns_of(stored, "doc_id", "text").withColumnRenamed(common.ROW, "row_id"))
+    found = found.filter(F.size("spans") > 0)
     apart = F.filter("spans", lambda s: s["start"] >= s["cut"])
     cuts = F.array_sort(F.transform(apart, lambda s: F.struct(s["start"], s["cut"], s["kind"], s["end"])))
     tail = F.array_max(F.transform("spans", lambda s: s["end"]))
@@ -367,13 +371,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     ))
     clean = F.concat(F.array_join(parts, ""), _piece(chunks, width, F.col("_tail"), length))
     out = cut.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(clean))
+    fresh = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn(
-            "n_chars",
-            F.when(F.col("_cuts").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")),
+        fresh["n_chars"] = F.when(F.col("_cuts").isNotNull(), F.length("text").cast(kind)).otherwise(
+            F.col(f"{common.DOC}.n_chars")
         )
-    return out.select(*docs.columns)
+    return out.select(*[fresh.get(c, F.col(f"{common.DOC}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

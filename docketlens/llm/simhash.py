@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, map_in_arrow
 from . import common
-from .components import connected_components
+from .components import connected_components, with_least
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -255,11 +255,10 @@ def _rooted(prints: DataFrame) -> DataFrame:
     """``prints`` with the fingerprint ``root`` and the ``component_id`` of each row's component."""
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = cut_lineage(connected_components(fingerprint_links(firsts.select("fp"))))
-    placed = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
+    placed = cut_lineage(firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
         firsts["fp"], "first_id", F.coalesce("root", firsts["fp"]).alias("root")
-    )
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = placed.join(least, "root").select("fp", "root", "component_id")
+    ))
+    by_print = with_least(placed, "root", "first_id", "component_id").select("fp", "root", "component_id")
     return prints.join(by_print, "fp")
 
 
@@ -287,7 +286,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     smallest id the first in the scan stays.
     """
     rows = common.with_stored_row(docs, "simhash")
-    prints = cut_lineage(with_fingerprint(rows.select(common.ROW, "doc_id", "text")).drop("text"))
+    prints = cut_lineage(with_fingerprint(common.columns_of(rows, "doc_id", "text")).drop("text"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", common.ROW)
     kept = _rooted(prints).groupBy("root").agg(F.min_by(common.ROW, order).alias(common.ROW))
-    return rows.join(kept, common.ROW, "left_semi").select(*docs.columns)
+    return rows.join(kept, common.ROW, "left_semi").select(f"{common.DOC}.*")

@@ -134,3 +134,26 @@ def test_rows_that_share_an_id_are_judged_alone(spark, key):
     assert decontaminate.contamination(docs, bench, options).count() == 1
     kept = decontaminate.uncontaminated(docs, bench, options)
     assert sorted(r["text"] for r in kept.collect()) == sorted([clean, *halves])
+
+
+def reported(spark, docs, items):
+    found = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    return {(r["doc_id"], r["item_id"]): (r["coverage"], r["kind"]) for r in found.collect()}
+
+
+def test_a_generic_window_is_no_copy(spark):
+    """Of an item of few windows all must match."""
+    docs = [(1, "We asked what is the capital of the firm that sold it."), (2, "so what is the capital of France? nobody knew")]
+    assert set(reported(spark, docs, [(7, "What is the capital of France?")])) == {(2, 7)}
+
+
+def test_items_that_share_an_id_or_have_none(spark):
+    """Each is judged by its own windows."""
+    short = "the green river bends slowly past nine old wooden mills near town"
+    long = "a quite different text about copper kettles and silver spoons kept under lock by careful keepers of long memory"
+    docs = [(1, f"See: {short} indeed."), (2, f"And {long} again.")]
+    for key in (5, None):
+        found = reported(spark, docs, [(key, short), (key, long)])
+        assert set(found) == {(1, key), (2, key)} and all(c >= 0.8 for c, _ in found.values())
