@@ -43,6 +43,10 @@ class PackOptions:
     block_tokens: int = 1 << 20
 
 
+#: Fixed value: the added token of the vocabulary, which stands for itself wherever a text holds it.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
+
+
 @lru_cache(maxsize=2)
 def _encoding(vocabulary: str | None):
     import public_tokenizers
@@ -52,9 +56,9 @@ def _encoding(vocabulary: str | None):
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     encoding = tiktoken.Encoding(
-        "pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS
     )
-    size = max(ranks.values()) + 1
+    size = max(*ranks.values(), *ADDED_TOKENS.values()) + 1
     stops, breaks, opens = (np.zeros(size, dtype=bool) for _ in range(3))
     for piece, i in ranks.items():
         stops[i] = piece.rstrip(b"\"')]}").endswith((b".", b"!", b"?"))
@@ -65,7 +69,10 @@ def _encoding(vocabulary: str | None):
 
 def encode(text: str | None, options: PackOptions) -> np.ndarray:
     encoding = _encoding(options.vocabulary)[0]
-    ids = encoding.encode_ordinary(text) if text else []
+    if text and any(t in text for t in ADDED_TOKENS):
+        ids = encoding.encode(text, allowed_special="all")
+    else:
+        ids = encoding.encode_ordinary(text) if text else []
     return np.array([*ids, options.end_id], dtype="<u4")
 
 

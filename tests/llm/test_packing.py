@@ -11,9 +11,7 @@ from docketlens.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_tokenizer_file(tokenizer, documents):
@@ -21,6 +19,7 @@ def test_ids_equal_the_tokenizer_file(tokenizer, documents):
     rng = random.Random(2)
     odd = ["", " ", "\n\n x", "don't  stop\t", "é😀ß 漢字 ١٢٣ ½", "a" * 3000, "<|endoftext|> x", "  x", "é"]
     odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x3000), 10])) for _ in range(60)) for _ in range(60)]
+    odd += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x\n<|endoftext|>\n y", "<|endoftext", "a<|endoftext|>"]
     texts = odd + [r["text"] for r in documents.limit(60).collect()]
     for text in texts:
         want = tokenizer.encode(text, add_special_tokens=False).ids + [0]
