@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import map_in_arrow
+from ..session import cut_lineage, map_in_arrow
 from . import common
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,17 +68,22 @@ def windows(text: str | None, size: int) -> list[bytes]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, options: ToxicityOptions) -> DataFrame:
-    """``(doc_id, text, toxic)`` of the sampled labels; the label side is bounded by the options."""
+    """``(doc_id, text, toxic)`` of the sampled labels, written once; the options bound them.
+
+    An id counts once: as toxic if any of its labels says so, with one of its texts.
+    """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(
         F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"))
     )
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = {1: options.toxic_rows, 0: options.ordinary_rows}
     share = F.when(F.col("toxic") == 1, most[1] / max(1, sizes.get(1, 0))).otherwise(
         most[0] / max(1, sizes.get(0, 0))
     )
     chosen = usable.filter(common.sample_share(F.col("doc_id"), "toxicity") < share)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
+    return cut_lineage(texts.dropDuplicates(["doc_id"]))
 
 
 def evidence(k: float, o: float, toxic_total: float, ordinary_total: float) -> float:
