@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
-from ..operators import blocks, cycles, graph, lifecycle, retrieval, search
+from ..operators import blocks, cycles, fulltext, graph, lifecycle, retrieval, search
 from ..session import cut_lineage
 from ..sources import listings
 from ..streaming import arrivals
 from .domain import derive, read
 from .queries import (
-    _EDGES, _FACTS, _HREFS, _LEXICAL, _NODES, QUERIES, RECS, SQL, asked, bodies, event_stream, found_facts, line_blocks, query,
+    _EDGES, _FACTS, _HREFS, _LEXICAL, _NODES, _TOKENS, QUERIES, RECS, SQL, asked, bodies, event_stream, found_facts, line_blocks, query,
     records, turn_blocks,
 )
 
@@ -400,3 +400,42 @@ def _(spark, sf):
     )
 
 
+
+
+# --- full-text search for batches -------------------------------------------------------------------------
+
+_STOPS = ", ".join(f"'{w}'" for w in fulltext.STOP_WORDS)
+#: One query per benchmark item from its first five words that are no stop words: a b or "c d" -e.
+_BOOLEAN = f"""q AS (SELECT item_id AS query_id, list_filter({_TOKENS.format('text')}, lambda w: NOT list_contains([{_STOPS}], w))[1:5] AS w
+    FROM benchmark), d AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS t FROM documents),
+  places AS (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS p FROM d),
+  every AS (SELECT token FROM places UNION SELECT unnest(w) FROM q), {fulltext.stem_sql('every')},
+  spots AS (SELECT id, p, term FROM places JOIN stems USING (token) WHERE token NOT IN ({_STOPS})),
+  asked AS (SELECT query_id, unnest(w) AS token, unnest(range(len(w))) AS k FROM q),
+  terms AS (SELECT query_id, k, term FROM asked JOIN stems USING (token)),
+  hits AS (SELECT DISTINCT query_id, k, id FROM terms JOIN spots USING (term)),
+  pairs AS (SELECT DISTINCT a.query_id, x.id FROM terms a JOIN spots x USING (term) JOIN spots y ON y.id = x.id AND y.p = x.p + 1
+    JOIN terms b ON b.query_id = a.query_id AND b.term = y.term WHERE a.k = 2 AND b.k = 3)"""
+
+
+def web_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(text.tokenize(F.col("text")), lambda w: ~w.isin(*fulltext.STOP_WORDS))
+    w = lambda i: F.coalesce(F.get(F.col("w"), i), F.lit(""))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).select(
+        "query_id", F.concat(w(0), F.lit(" "), w(1), F.lit(' or "'), w(2), F.lit(" "), w(3), F.lit('" -'), w(4)).alias("query")
+    )
+
+
+@query("fulltext_batch", f"""WITH {_BOOLEAN} SELECT query_id, id FROM hits WHERE k < 2 GROUP BY ALL HAVING count(DISTINCT k) = 2
+  UNION SELECT query_id, id FROM pairs WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM hits WHERE k = 4)""")
+def _(spark, sf):
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return fulltext.matches(web_queries(spark, sf), texts)
+
+
+# The sweep over the positions has no SQL; the tests compare it with plain code.
+@query("fulltext_ranked")
+def _(spark, sf):
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    best = retrieval.ranked(fulltext.scores(web_queries(spark, sf), texts), 10)
+    return best.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
