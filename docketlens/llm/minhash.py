@@ -56,6 +56,9 @@ TILE = 1024
 RUN_PAIRS = 1 << 16
 #: Partners of a set in the first round of a bucket; each further round allows 8 times as many.
 PARTNERS = 4
+#: Rows of one partition in tables of sets and of links, so that small ones do not become many tiny files.
+PART_SETS = 10_000
+PART_LINKS = 25_000
 #: Keys up to which a list of texts is broadcast; a longer one is joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
@@ -213,19 +216,25 @@ def described(docs: DataFrame) -> DataFrame:
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
     """One row per distinct set that is not empty, with a number ``node``, written once."""
-    return cut_lineage(
+    found = cut_lineage(
         rows.filter("n_shingles > 0").groupBy("hi", "lo").agg(
             F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"),
             F.min("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("marks").alias("marks"),
         ).withColumn("node", F.monotonically_increasing_id())
     )
+    return found.coalesce(_parts(found, PART_SETS))
+
+
+def _parts(rows: DataFrame, size: int) -> int:
+    return max(1, -(-rows.count() // size))
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """``key, node, pivot, size`` of every bucket that several sets share."""
     banded = nodes.select("node", F.explode("bands").alias("key"))
     pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size"))
-    return cut_lineage(banded.join(pivots.filter("size > 1"), "key"))
+    found = cut_lineage(banded.join(pivots.filter("size > 1"), "key"))
+    return found.coalesce(_parts(found, PART_LINKS))
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -392,22 +401,23 @@ def set_components(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, pa
                    tile: int = TILE) -> DataFrame:
     """``node, root`` of every distinct set that is linked with another one and is not the root itself."""
     buckets = shared_buckets(nodes)
-    sets = full_sets(docs, nodes, buckets.select("node").distinct())
+    parts = _parts(buckets, PART_LINKS)
+    sets = full_sets(docs, nodes, buckets.select("node").distinct()).coalesce(parts)
     stars = buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    tested = cut_lineage(near_pairs(stars, nodes, percent))
-    links = [cut_lineage(confirmed(tested, sets, percent))]
+    tested = cut_lineage(near_pairs(stars, nodes, percent).coalesce(parts))
+    links = [cut_lineage(confirmed(tested, sets, percent).coalesce(parts))]
     while True:
         roots = _components(links)
-        found = cut_lineage(cross_pairs(buckets, nodes, roots, partners, percent, tile))
+        found = cut_lineage(cross_pairs(buckets, nodes, roots, partners, percent, tile).coalesce(parts))
         fresh = found.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        new = cut_lineage(confirmed(fresh, sets, percent))
+        new = cut_lineage(confirmed(fresh, sets, percent).coalesce(parts))
         more = found.filter("more").limit(1).count()
         if new.limit(1).count():
             links.append(new)
             roots = None
         if not more:
             return _components(links) if roots is None else roots
-        tested = cut_lineage(tested.unionByName(found.select("a", "b")).distinct())
+        tested = cut_lineage(tested.unionByName(found.select("a", "b")).distinct().coalesce(parts))
         partners *= 8
 
 
