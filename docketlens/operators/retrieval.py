@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.constants import RRF_K
 from ..session import cut_lineage, map_in_arrow
+from . import substrings
 
 DECIMALS = 9
 
@@ -47,9 +48,8 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     # A phrase of one or two tokens can also lie inside longer tokens of a text without any hit.
     short = wanted.filter(F.col("n") <= 2).select("query_id", "phrase")
-    inside = (
-        chunks.filter(F.rlike("text", F.lit("[A-Za-z0-9]"))).select("id", F.lower("text").alias("low"))
-        .join(short, F.contains(F.col("low"), F.col("phrase"))).select("query_id", "id")
+    inside = substrings.contained(
+        chunks.filter(F.rlike("text", F.lit("[A-Za-z0-9]"))).select("id", F.lower("text").alias("text")), short
     )
     phrases = exact.unionByName(inside).distinct().withColumn("bonus", F.lit(1.0))
     return scored.join(phrases, ["query_id", "id"], "full").select(
@@ -129,12 +129,16 @@ def _block_scores(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _check_fusion(rrf_k: int, weights: list[float]) -> None:
+    if rrf_k < 1:
+        raise ValueError(f"reciprocal ranks need a constant of at least 1, not {rrf_k}")
+    if min(weights, default=0) < 0:
+        raise ValueError(f"a ranking counts with a weight of 0 or more: {weights}")
+
+
 def fused(rankings: list[tuple[DataFrame, float]], rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of ``(query_id, id, rank)`` rankings; a repeated id keeps its first rank."""
-    if rrf_k < 1:
-        raise ValueError("rrf_k must be positive")
-    if any(weight < 0 for _, weight in rankings):
-        raise ValueError("ranking weight cannot be negative")
+    _check_fusion(rrf_k, [weight for _, weight in rankings])
     parts = [
         r.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
         .select("query_id", "id", (F.lit(float(w)) / (F.col("rank") + rrf_k)).alias("part"))
@@ -296,10 +300,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, evidence: DataFrame |
     is ranked. Both rankings are read to a depth that provably holds the result, and the exact rank of
     each candidate in the other ranking comes from counts per task, so only counts and top rows move.
     """
-    if rrf_k < 1:
-        raise ValueError("rrf_k must be positive")
-    if lexical_weight < 0 or vector_weight < 0:
-        raise ValueError("ranking weight cannot be negative")
+    _check_fusion(rrf_k, [lexical_weight, vector_weight])
     spread = 1.0
     if evidence is not None:
         seen = evidence.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi")).first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
-from ..operators import blocks, cycles, fulltext, graph, lifecycle, retrieval, search
+from ..operators import blocks, cycles, fulltext, graph, lifecycle, retrieval, search, substrings
 from ..session import cut_lineage
 from ..sources import listings
 from ..streaming import arrivals
@@ -439,3 +439,15 @@ def _(spark, sf):
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     best = retrieval.ranked(fulltext.scores(web_queries(spark, sf), texts), 10)
     return best.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("substring_hits", """WITH p AS (SELECT p_partkey AS query_id, lower(string_split(p_name, ' ')[2]) AS phrase FROM part),
+  t AS (SELECT doc_id AS id, lower(text) AS text FROM documents), h AS (SELECT DISTINCT phrase, id FROM (SELECT DISTINCT phrase FROM p WHERE phrase <> '') w
+    JOIN t ON contains(t.text, w.phrase))
+  SELECT query_id, count(*) AS n FROM p JOIN h USING (phrase) GROUP BY query_id""")
+def _(spark, sf):
+    phrases = read(spark, sf, "part").select(
+        F.col("p_partkey").alias("query_id"), F.lower(F.get(F.split("p_name", " "), 1)).alias("phrase")
+    )
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return substrings.contained(texts, phrases).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
