@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
-from ..operators import blocks, cycles, fulltext, graph, lifecycle, retrieval, search, substrings
-from ..session import cut_lineage
-from ..sources import listings
+from ..operators import blocks, cycles, fulltext, graph, lifecycle, retrieval, search, substrings, versions
+from ..session import cut_lineage, fresh_path
+from ..sources import listings, store
 from ..streaming import arrivals
 from .domain import derive, read
 from .queries import (
@@ -451,3 +451,51 @@ def _(spark, sf):
     )
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
     return substrings.contained(texts, phrases).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- versions, stored contents, pages by key --------------------------------------------------------------
+
+
+@query("version_rows", """SELECT 'v' || CAST(o_orderkey % 3 AS VARCHAR) AS version, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 1""")
+def _(spark, sf):
+    # Three versions of a table; one is not validated, the second activation supersedes the first.
+    root, orders = fresh_path(spark, "versions"), read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    for k in range(3):
+        rows = orders.filter(F.col("o_orderkey") % 3 == k)
+        versions.write_version(rows, root, f"v{k}")
+        versions.record_validation(spark, root, f"v{k}", rows.filter(F.lit(k == 2)))
+    versions.activate(spark, root, "v0")
+    versions.activate(spark, root, "v1")
+    return versions.read_version(spark, root)
+
+
+@query("store_contents", """SELECT substr(sha256(text), 1, 2) AS prefix, count(DISTINCT text) AS contents, sum(DISTINCT strlen(text)) > 0 AS filled
+  FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def _(spark, sf):
+    root = fresh_path(spark, "store")
+    blobs = read(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    store.put(blobs.filter("doc_id % 2 = 0"), root)
+    store.put(blobs, root)  # holds the first batch again
+    return store.stored(spark, root).groupBy("prefix").agg(
+        F.count(F.lit(1)).alias("contents"), (F.sum("size") > 0).alias("filled")
+    )
+
+
+@query("store_checked", """SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'missing' WHEN doc_id % 10 = 4 THEN 'size' END AS problem FROM documents""")
+def _(spark, sf):
+    # Planted faults: every tenth content is asked for under another digest or with another size.
+    root, docs = fresh_path(spark, "store"), read(spark, sf, "documents")
+    store.put(docs.select(F.col("text").cast("binary").alias("content")), root)
+    manifest = docs.select(
+        "doc_id", F.when(F.col("doc_id") % 10 == 3, F.sha2(F.concat(F.lit("?"), "text"), 256)).otherwise(F.sha2("text", 256)).alias("sha256"),
+        (F.octet_length("text") + F.when(F.col("doc_id") % 10 == 4, 1).otherwise(0)).alias("size"),
+    )
+    return store.checked(spark, root, manifest).select("doc_id", "problem")
+
+
+@query("tdocs_second_page", """SELECT id, received, true AS has_more FROM (SELECT *, row_number() OVER (ORDER BY received DESC NULLS LAST, id) AS n FROM tdocs)
+  WHERE n > 50 AND n <= 100""", "tdocs")
+def _(spark, sf):
+    order, rows = [("received", True), ("id", False)], derive(spark, sf, "tdocs").select("id", "received")
+    last = search.keyset_page(rows, order, 50).orderBy(F.desc_nulls_last("received"), "id").collect()[-1]
+    return search.keyset_page(rows, order, 50, last.asDict())
