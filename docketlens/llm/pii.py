@@ -68,7 +68,7 @@ def _staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in columns.items()])
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, by_text: bool = False) -> DataFrame:
     """``(row_id, doc_id, text)`` to one row per candidate; a text without any gives one null row.
 
     Columns: ``row_id, doc_id, source, kind, start, end, value, before, after``.
@@ -108,6 +108,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = cut.select("row_id", "doc_id", F.explode_outer(F.concat(*arrays)).alias("c")).select(
         "row_id", "doc_id", "c.*"
     )
+    if by_text:
+        # Copies of a text give the same matches, which are told apart by their place among its matches.
+        rows = rows.distinct()
     length = F.length("value")
     order = W.partitionBy("row_id", "source", "kind").orderBy("at")
     end = F.sum(F.col("gap") + length).over(order.rowsBetween(W.unboundedPreceding, 0))
@@ -293,13 +296,14 @@ def scored(found: DataFrame) -> DataFrame:
     return found.withColumn("p", F.when(F.col("kind").isNotNull(), 1 / (1 + F.exp(-logit))))
 
 
-def spans(docs: DataFrame, minimum: float = 0.5) -> DataFrame:
+def spans(docs: DataFrame, minimum: float = 0.5, by_text: bool = False) -> DataFrame:
     """``(row_id, doc_id, text)`` to one row per document with its sorted ``spans``.
 
+    With ``by_text`` the ``row_id`` names a text that several rows may hold; it counts once.
     ``spans`` is an array of ``(kind_no, start, end, kind, is_base, cut)``; ``cut`` is the greatest end of
     the spans that start before, 0 at first.
     """
-    found = scored(cut_lineage(judged(candidates(docs))))
+    found = scored(cut_lineage(judged(candidates(docs, by_text))))
     rows = W.partitionBy("row_id").orderBy("start", "end", "kind")
     base_start = F.when(F.col("is_base"), F.col("start"))
     base_end = F.when(F.col("is_base"), F.col("end"))
@@ -343,20 +347,20 @@ def _piece(chunks: Column, size: Column, begin: Column, end: Column) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``<KIND>`` and ``n_chars`` brought up to date.
 
-    The rows are numbered and stored first, since spans and texts are read apart and meet by that number.
-    The text is cut into chunks once, so that a span costs a chunk's length and not the text's. All other
+    Spans and texts are read apart and meet by the digest of the text, which no other order or partitioning
+    of the input changes; the spans of equal texts are found once. The text is cut into chunks once, so that a span costs a chunk's length and not the text's. All other
     columns, whatever their names, stay as they are.
     """
-    stored = common.with_stored_row(docs, "redact")
-    rows = stored.select(F.col(common.ROW).alias("row_id"), common.DOC, F.col(f"{common.DOC}.text").alias("text"))
-    found = spans(common.columns_of(stored, "doc_id", "text").withColumnRenamed(common.ROW, "row_id"))
-    found = found.filter(F.size("spans") > 0)
+    digest = F.sha2("text", 256).alias("row_id")
+    rows = docs.select(digest, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(common.DOC))
+    texts = docs.filter("text is not null").select(digest, F.lit(None).cast("long").alias("doc_id"), "text")
+    found = spans(texts, by_text=True).filter(F.size("spans") > 0)
     apart = F.filter("spans", lambda s: s["start"] >= s["cut"])
     cuts = F.array_sort(F.transform(apart, lambda s: F.struct(s["start"], s["cut"], s["kind"], s["end"])))
     tail = F.array_max(F.transform("spans", lambda s: s["end"]))
     joined = rows.join(
         found.select("row_id", cuts.alias("_cuts"), tail.alias("_tail")), "row_id", "left"
-    )
+    ).withColumn("text", F.col(f"{common.DOC}.text"))
     length = F.length("text")
     size = F.greatest(F.lit(1024), (F.sqrt(length) * 16).cast("int"))
     begins = F.sequence(F.lit(0), F.floor(length / F.col("_size")).cast("int"))
