@@ -254,10 +254,32 @@ def _(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", found.alias("d")).select("o_orderkey", "d.*")
 
 
-@query("document_dates", None)
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+# A text per order in one of the five written forms, or without dates; the SQL builds the dates directly.
+@query("document_dates", """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS form, CAST(year(o_orderdate) AS BIGINT) AS y, least(month(o_orderdate), 11) AS m FROM orders)
+  SELECT o_orderkey, CASE form WHEN 0 THEN make_date(y, m, 5) WHEN 1 THEN make_date(y, m, 28) WHEN 2 THEN make_date(2000 + y % 100, m, 3)
+      WHEN 3 THEN make_date(y, m, 10) WHEN 4 THEN make_date(y, m, 11) END AS starts_on,
+    CASE form WHEN 0 THEN make_date(y, m, 9) WHEN 1 THEN make_date(y, m + 1, 2) WHEN 2 THEN make_date(2000 + y % 100, m, 7)
+      WHEN 3 THEN make_date(y, m, 14) WHEN 4 THEN make_date(y, m, 15) END AS ends_on FROM o""")
 def _(spark, sf):
-    found = dates.parse_meeting_date_range(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", found.alias("d")).filter("d is not null").select("doc_id", "d.*")
+    orders = read(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") % 6).alias("form"), F.year("o_orderdate").cast("string").alias("y"),
+        F.least(F.month("o_orderdate"), F.lit(11)).alias("m"),
+    )
+    names = F.array(*[F.lit(n) for n in _MONTHS])
+    name, after = F.get(names, F.col("m") - 1), F.get(names, F.col("m"))
+    forms = {
+        0: ("Held 05/%d/%s  to 09/%d/%s in Town", "m", "y", "m", "y"), 1: ("on 28 %s - 2 %s %s.", name, after, "y"),
+        2: ("R2-%s00123 Agenda, %s 3rd – 7th", F.substring("y", 3, 2), name), 3: ("from Monday 10 to Friday 14 of %s, %s", name, "y"),
+        4: ("Meeting 40: 11-15 %s %s", name, "y"),
+    }
+    body = F.lit("no dates, only 12 items")
+    for form, (pattern, *parts) in forms.items():
+        body = F.when(F.col("form") == form, F.format_string(pattern, *parts)).otherwise(body)
+    found = dates.parse_meeting_date_range(body)
+    return orders.select("o_orderkey", found.alias("d")).select("o_orderkey", "d.starts_on", "d.ends_on")
 
 
 # --- text sources and blocks --------------------------------------------------------------------

@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_query_without_sql_runs(spark, sf, name):
-    assert queries.QUERIES[name](spark, sf).count() >= 0
+    assert queries.QUERIES[name](spark, sf).count() > 0
 
 
 def test_window_counts_equal_batch(spark, sf):
@@ -26,9 +26,7 @@ def test_window_counts_equal_batch(spark, sf):
     streamed = queries.QUERIES["stream_counts"](spark, sf)
     want = {(r["window"]["start"], r["event_type"]): r["count"] for r in batch.collect()}
     got = {(r["starts"], r["event_type"]): r["n"] for r in streamed.collect()}
-    assert got
-    # Windows that the watermark has not passed stay open; all others are equal.
-    assert all(want[k] == n for k, n in got.items())
+    assert got and got == want
 
 
 def test_entry_has_rows(spark):
