@@ -9,7 +9,7 @@ from ..functions import dates, ids, text
 from ..operators import blocks, cycles, fulltext, graph, lifecycle, retrieval, search, substrings, versions
 from ..session import cut_lineage, fresh_path
 from ..sources import listings, store
-from ..streaming import arrivals
+from ..streaming import arrivals, retries
 from .domain import derive, read
 from .queries import (
     _EDGES, _FACTS, _HREFS, _LEXICAL, _NODES, _TOKENS, QUERIES, RECS, SQL, asked, bodies, event_stream, found_facts, line_blocks, query,
@@ -499,3 +499,35 @@ def _(spark, sf):
     order, rows = [("received", True), ("id", False)], derive(spark, sf, "tdocs").select("id", "received")
     last = search.keyset_page(rows, order, 50).orderBy(F.desc_nulls_last("received"), "id").collect()[-1]
     return search.keyset_page(rows, order, 50, last.asDict())
+
+
+# --- retries ----------------------------------------------------------------------------------------------
+
+_RETRIES = """WITH e AS (SELECT user_id % 97 * 10 + event_id % 10 AS key, ts, event_id, event_type = 'purchase' AS ok FROM events),
+  s AS (SELECT key, min((ts, event_id)) AS done FROM e WHERE ok GROUP BY key),
+  f AS (SELECT key, ts, event_id, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM e WHERE NOT ok),
+  c AS (SELECT f.key, max(n) AS attempts, max(ts) AS last FROM f LEFT JOIN s USING (key) WHERE n <= 5 AND (done IS NULL OR (ts, event_id) < done) GROUP BY f.key),
+  k AS (SELECT DISTINCT key FROM e)
+  SELECT k.key, CAST(coalesce(attempts, 0) AS INTEGER) AS attempts, CASE WHEN attempts >= 5 THEN 'dead_letter' WHEN done IS NOT NULL THEN 'complete' ELSE 'pending' END AS state,
+    CASE WHEN coalesce(attempts, 0) < 5 AND done IS NULL THEN epoch_us(last) + 1000000 * least(3600, CAST(30 * pow(2, attempts) AS BIGINT)) END AS available_us
+  FROM k LEFT JOIN s USING (key) LEFT JOIN c USING (key)"""
+
+
+def _outcomes(events: DataFrame) -> DataFrame:
+    return events.select(
+        (F.col("user_id") % 97 * 10 + F.col("event_id") % 10).alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+        (F.col("event_type") == "purchase").alias("ok"),
+    )
+
+
+@query("retry_states", _RETRIES)
+def _(spark, sf):
+    found = retries.retry_states(_outcomes(read(spark, sf, "events")), 5)
+    return found.select("key", "attempts", "state", F.unix_micros("available_at").alias("available_us"))
+
+
+@query("stream_retries", _RETRIES)
+def _(spark, sf):
+    states = retries.retry_stream(_outcomes(event_stream(spark, sf)), 5)
+    found = arrivals.last_updates(states, spark, "stream-retries", ["key"])
+    return found.select("key", "attempts", "state", F.unix_micros("available_at").alias("available_us"))
