@@ -35,6 +35,19 @@ def contained(texts: DataFrame, phrases: DataFrame, block_bytes: int = BLOCK_BYT
     return reduce(DataFrame.unionByName, found).join(wanted, "phrase").select("query_id", "id").distinct()
 
 
+def counted(texts: DataFrame, phrases: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``query_id, n``: the number of distinct ids whose text holds a phrase of the query, where there is any.
+
+    Queries with the same phrases are one class: only its least query meets the texts, and the others get its count.
+    """
+    sets = phrases.filter(F.length("phrase") > 0).groupBy("query_id").agg(F.sort_array(F.collect_set("phrase")).alias("phrases"))
+    classes = sets.groupBy("phrases").agg(F.min("query_id").alias("least"))
+    asked = classes.select(F.col("least").alias("query_id"), F.explode("phrases").alias("phrase"))
+    counts = contained(texts, asked, block_bytes).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    of_class = classes.join(counts.withColumnRenamed("query_id", "least"), "least").select("phrases", "n")
+    return sets.join(of_class, "phrases").select("query_id", "n")
+
+
 def _block(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast([r["phrase"] for r in phrases.collect()])
     kind = texts.schema["id"].dataType.simpleString()

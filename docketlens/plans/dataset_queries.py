@@ -450,7 +450,7 @@ def _(spark, sf):
         F.col("p_partkey").alias("query_id"), F.lower(F.get(F.split("p_name", " "), 1)).alias("phrase")
     )
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
-    return substrings.contained(texts, phrases).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return substrings.counted(texts, phrases)
 
 
 # --- versions, stored contents, pages by key --------------------------------------------------------------

@@ -29,3 +29,16 @@ def test_no_nested_loop(spark):
     plan = scores._jdf.queryExecution().optimizedPlan().toString() + scores._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert {(r["query_id"], r["id"]) for r in scores.filter(F.col("score") >= 1).collect()} == {(1, 1), (2, 2)}
+
+
+def test_counts_meet_each_class_of_queries_once(spark, monkeypatch):
+    # A thousand queries ask for the same two phrases, one of them for both.
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["ab x", "cd", "ab cd", "", None])], "id int, text string")
+    asked = [(i, ("ab", "cd")[i % 2]) for i in range(1000)] + [(0, "cd"), (2000, "zz"), (2001, ""), (2002, None)]
+    phrases = spark.createDataFrame(asked, "query_id int, phrase string")
+    met = []
+    whole = substrings.contained
+    monkeypatch.setattr(substrings, "contained", lambda t, p, b: (met.append(p.count()), whole(t, p, b))[1])
+    got = {r["query_id"]: r["n"] for r in substrings.counted(texts, phrases).collect()}
+    assert got == {i: 2 for i in range(1, 1000)} | {0: 3}
+    assert met == [5]
