@@ -39,7 +39,9 @@ def normalize_status(raw: Column) -> Column:
 
 
 def split_multi_value(raw: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), r"[,;\n]+"), strip)
+    # The separators take the white space around them along, so that no part has to be stripped by itself.
+    around = r"[\s\x1c-\x1f]*"
+    parts = F.split(strip(F.coalesce(raw, F.lit(""))), rf"(?U){around}[,;\n]+{around}")
     return F.array_distinct(F.filter(parts, lambda p: (p != "") & (p != "-")))
 
 
@@ -90,18 +92,23 @@ def alias_pairs(aliases: dict[str, tuple[str, ...]] | None = None) -> dict[str,
     return pairs
 
 
-def normalize_organization(name: Column, aliases: dict[str, str] | None = None) -> Column:
-    tidy = F.btrim(F.regexp_replace(name, rf"{SPACE}+", " "), F.lit(" ,;\t\n"))
-    pairs = alias_pairs() if aliases is None else aliases
+def _tidy_name(name: Column) -> Column:
+    return F.btrim(F.regexp_replace(name, rf"{SPACE}+", " "), F.lit(" ,;\t\n"))
+
+
+def _canonical_name(tidy: Column, pairs: dict[str, str]) -> Column:
     return F.coalesce(_literal_map(pairs)[F.lower(tidy)], tidy) if pairs else tidy
 
 
+def normalize_organization(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    return _canonical_name(_tidy_name(name), alias_pairs() if aliases is None else aliases)
+
+
 def organizations(source: Column, aliases: dict[str, str] | None = None) -> Column:
     """Ordered canonical organisation names of a source field."""
     pairs = alias_pairs() if aliases is None else aliases
-    return F.transform(
-        split_organization_sources(source), lambda n: normalize_organization(n, pairs)
-    )
+    tidy = F.transform(split_organization_sources(source), _tidy_name)
+    return F.transform(tidy, lambda n: _canonical_name(n, pairs))
 
 
 def alias_conflicts(aliases: DataFrame) -> DataFrame:
@@ -124,11 +131,11 @@ def with_canonical_names(rows: DataFrame, column: str, aliases: DataFrame) -> Da
 
 def canonical_identifier(value: Column) -> Column:
     """Lower-cased words joined by dashes; above 80 characters a prefix and the hash of the whole."""
-    slug = F.regexp_replace(
-        strip(F.replace(F.lower(value), F.lit("/"), F.lit(" "))), rf"{SPACE}+", "-"
-    )
+    spaced = F.btrim(F.regexp_replace(F.lower(value), r"(?U)[\s\x1c-\x1f/]+", " "), F.lit(" "))
+    slug = F.replace(spaced, F.lit(" "), F.lit("-"))
     short = F.concat(F.substring(slug, 1, 63), F.lit("-"), F.substring(F.sha2(slug, 256), 1, 16))
-    return F.when(F.length(slug) <= 80, slug).otherwise(short)
+    # No text has more characters than bytes, in lower case either, so most values need no second look.
+    return F.when((F.octet_length(value) <= 80) | (F.length(slug) <= 80), slug).otherwise(short)
 
 
 def typed_id(entity_type: Column | str, identifier: Column) -> Column:

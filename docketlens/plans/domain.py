@@ -8,7 +8,10 @@ dialects write differently.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -116,6 +119,42 @@ def oracle(body: str, *names: str) -> str:
     return "WITH " + ", ".join(clauses) + " " + body
 
 
+def _lists_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``lines`` by document id.
+
+    Lines meet before they are gathered: almost every line of a task belongs to another document, so that
+    partial lists would be sorted and written for nothing.
+    """
+    lines, supplier, part = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
+    fields = ("s_name", "p_brand", "p_type", "p_size", "p_name")
+    joined = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    each = joined.filter("l_orderkey is not null").select(
+        F.concat(F.lit("T-"), F.col("l_orderkey").cast("string")).alias("doc_id"), *[F.col(f).cast("string").alias(f) for f in fields]
+    )
+    gathered = each.repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("v"))
+    none = F.array(F.lit(None).cast("string"))
+    listed = {name: F.sort_array(F.array_except(F.col("v")[field], none))
+              for name, field in (("suppliers", "s_name"), ("brands", "p_brand"), ("types", "p_type"), ("sizes", "p_size"))}
+    return gathered.select("doc_id", *[made.alias(name) for name, made in listed.items()],
+                           F.array_min(F.col("v")["p_name"]).alias("part_name"))
+
+
+def _tdocs(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """``tdocs`` with the chains found on narrow rows; the lists come last, so that rows lie by document id."""
+    start, end = query.index("FROM orders"), query.index("WINDOW chain")
+    previous = re.search(r"CASE WHEN o_orderkey % 7 .*?AS revised_from", query, re.S).group(0)
+    placed = f"""SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate, n_nationkey, n_regionkey,
+  concat('T-', CAST(o_orderkey AS STRING)) AS doc_key, {previous}
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+{query[end:]}"""
+    for table in ("orders", "customer", "nation"):
+        placed = _bound(placed, table)
+    chained = spark.sql(placed, **{t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")})
+    whole = query[:start].replace(previous, "revised_from").replace("concat('T-', CAST(o_orderkey AS STRING)) AS id", "doc_key AS id")
+    return spark.sql(whole + "FROM {chained} LEFT JOIN {lists} ON doc_key = doc_id", chained=chained,
+                     lists=_lists_of_lines(spark, sf_dir))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -123,14 +162,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame; base tables bind as arguments, nothing is registered."""
     made = definitions(SPARK)
+    if name == "tdocs":
+        return _tdocs(spark, sf_dir, made[name])
     base = {"meetings": ("nation",), "lines": ("lineitem", "supplier", "part"),
-            "tdocs": ("orders", "customer", "nation", "lineitem", "supplier", "part"),
             "artifacts": ("orders",), "observations": ("events",)}[name]
     query = made[name]
     frames = {t: read(spark, sf_dir, t) for t in base}
-    if name == "tdocs":
-        frames["lines"] = derive(spark, sf_dir, "lines")
-        frames = {k: v for k, v in frames.items() if k not in ("lineitem", "supplier", "part")}
     for table in frames:
         query = _bound(query, table)
     return spark.sql(query, **frames)
