@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from . import cycles
 
 _FACT = "array<struct<type:string,entity:string,label:string,predicate:string,placeholder:boolean>>"
@@ -29,6 +29,22 @@ def facts(documents: DataFrame) -> DataFrame:
     Columns: ``tdoc_id, meeting_id, seq, type, entity, label, predicate, placeholder``; the document
     itself is its meeting's ``contains`` fact.
     """
+    return listed_facts(gathered_facts(documents))
+
+
+def stored_facts(documents: DataFrame) -> DataFrame:
+    """``facts`` whose values are made once and written per document, for jobs that go over them several times."""
+    return listed_facts(stored(gathered_facts(documents), "facts").repartition("tdoc_id"))
+
+
+def listed_facts(gathered: DataFrame) -> DataFrame:
+    return gathered.select("tdoc_id", "meeting_id", "seq", F.posexplode("f").alias("pos", "f")).select(
+        "tdoc_id", "meeting_id", "seq", "pos", "f.*"
+    )
+
+
+def gathered_facts(documents: DataFrame) -> DataFrame:
+    """``tdoc_id, meeting_id, seq`` and the array ``f`` of a document's facts."""
     nothing = F.expr(f"cast(array() as {_FACT})")
 
     def given(value: Column) -> Column:
@@ -58,8 +74,8 @@ def facts(documents: DataFrame) -> DataFrame:
     ]
     return documents.select(
         F.col("id").alias("tdoc_id"), "meeting_id", "seq",
-        F.posexplode(F.concat(*[F.coalesce(p, nothing) for p in parts])).alias("pos", "f"),
-    ).select("tdoc_id", "meeting_id", "seq", "pos", "f.*")
+        F.concat(*[F.coalesce(p, nothing) for p in parts]).alias("f"),
+    )
 
 
 def nodes(found: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -79,13 +95,19 @@ def nodes(found: DataFrame, meetings: DataFrame) -> DataFrame:
 
 
 def edges(found: DataFrame, version: str = "v1") -> DataFrame:
-    """Distinct edges with their content-hash id."""
+    """Distinct edges with their content-hash id.
+
+    A document's edges are told apart by its id, so facts that already lie by document are not shuffled.
+    """
     contains = F.col("predicate") == "contains"
-    return found.select(
+    once = found.select(
+        "tdoc_id", F.when(contains, F.col("meeting_id")).alias("meeting_id"), "predicate", "type", "entity"
+    ).distinct()
+    return once.select(
         F.when(contains, "meeting").otherwise("tdoc").alias("source_type"),
         F.when(contains, F.col("meeting_id")).otherwise(F.col("tdoc_id")).alias("source_id"),
         "predicate", F.col("type").alias("target_type"), F.col("entity").alias("target_id"),
-    ).distinct().withColumn(
+    ).withColumn(
         "id", ids.stored_edge_id(F.lit(version), F.col("source_type"), F.col("source_id"),
                                  F.col("predicate"), F.col("target_type"), F.col("target_id"))
     )
@@ -93,19 +115,29 @@ def edges(found: DataFrame, version: str = "v1") -> DataFrame:
 
 def orphans(all_edges: DataFrame, all_nodes: DataFrame) -> DataFrame:
     """Edges whose source or target is no node, and ``revises`` edges between other types."""
-    known = all_nodes.select("type", "entity").distinct()
+    return _faults(all_edges, all_nodes).select("id", "problem")
 
-    def missing(side: str) -> DataFrame:
-        return all_edges.join(
-            known, (F.col(f"{side}_type") == known["type"]) & (F.col(f"{side}_id") == known["entity"]),
-            "left_anti",
-        ).select("id", F.lit(f"orphan {side}").alias("problem"))
 
-    wrong = all_edges.filter(
-        (F.col("predicate") == "revises")
-        & ((F.col("source_type") != "tdoc") | (F.col("target_type") != "tdoc"))
-    ).select("id", F.lit("revises other type").alias("problem"))
-    return missing("source").unionByName(missing("target")).unionByName(wrong)
+def _faults(all_edges: DataFrame, all_nodes: DataFrame) -> DataFrame:
+    """Faulty edges with their ``problem``.
+
+    Many edges share an end, so each distinct end is looked up once; edges then meet only the ends that are missing.
+    """
+    sides = {side: [F.col(f"{side}_type").alias("type"), F.col(f"{side}_id").alias("entity")] for side in ("source", "target")}
+    both = F.explode(F.array(*[F.struct(*columns) for columns in sides.values()])).alias("end")
+    ends = all_edges.select(both).select("end.*").distinct()
+    missing = stored(ends.join(all_nodes.select("type", "entity").distinct(), ["type", "entity"], "left_anti"), "missing")
+    looked = all_edges
+    for side in sides:
+        gone = missing.select(F.col("type").alias("_type"), F.col("entity").alias("_entity"), F.lit(True).alias(f"_no_{side}"))
+        same = F.col(f"{side}_type").eqNullSafe(F.col("_type")) & F.col(f"{side}_id").eqNullSafe(F.col("_entity"))
+        looked = looked.join(gone, same, "left").drop("_type", "_entity")
+    other = (F.col("predicate") == "revises") & ((F.col("source_type") != "tdoc") | (F.col("target_type") != "tdoc"))
+    problems = F.array_compact(F.array(
+        F.when(F.col("_no_source"), F.lit("orphan source")), F.when(F.col("_no_target"), F.lit("orphan target")),
+        F.when(other, F.lit("revises other type")),
+    ))
+    return looked.withColumn("problem", F.explode(problems)).drop("_no_source", "_no_target")
 
 
 def containment_faults(all_edges: DataFrame) -> DataFrame:
@@ -147,34 +179,33 @@ def chain_jumps(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     ``depth`` counts the documents from the root to the row, root included. After about log2 of the
     longest chain every pointer has left its chain; pointers that have not within log2 of all rows
-    are on or behind a cycle. Each round is one self join, cut by a reliable checkpoint.
+    are on or behind a cycle. Each round joins and writes the open rows only.
     """
-    known = links.select("id").distinct()
-    current = cut_lineage(
+    known = stored(links.select("id").distinct(), "ids")
+    places = stored(
         links.join(known.withColumnRenamed("id", "previous"), "previous", "left_semi")
         .groupBy("id").agg(F.min("previous").alias("far"))
         .join(known, "id", "right")
-        .select("id", "far", F.lit(1).cast("long").alias("steps"), F.col("id").alias("root"))
+        .select("id", "far", F.lit(1).cast("long").alias("steps"), F.col("id").alias("root")), "chains"
     )
-    rounds = max(1, current.count()).bit_length() + 1
-    jumps = [current.select("id", "far")]
+    rounds = max(1, known.count()).bit_length() + 1
+    # Rows whose pointer has left its chain are done; they are read again, but neither joined nor written.
+    done, still = places.filter("far is null"), places.filter("far is not null")
+    jumps = [still.select("id", "far")]
     for _ in range(rounds):
-        if not current.filter(F.col("far").isNotNull()).limit(1).count():
+        if not still.limit(1).count():
             break
-        ahead = current.select(
+        ahead = done.unionByName(still).select(
             F.col("id").alias("far"), F.col("far").alias("next"), F.col("steps").alias("more"),
             F.col("root").alias("next_root"),
         )
-        joined = current.join(ahead, "far", "left")
-        moved = F.col("far").isNotNull()
-        current = cut_lineage(joined.select(
-            "id", F.col("next").alias("far"),
-            F.when(moved, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"),
-            F.when(moved, F.col("next_root")).otherwise(F.col("root")).alias("root"),
-        ))
-        jumps.append(current.select("id", "far"))
+        moved = stored(still.join(ahead, "far").select(
+            "id", F.col("next").alias("far"), (F.col("steps") + F.col("more")).alias("steps"), F.col("next_root").alias("root"),
+        ), "chains")
+        done, still = done.unionByName(moved.filter("far is null")), moved.filter("far is not null")
+        jumps.append(still.select("id", "far"))
     cyclic = F.col("far").isNotNull()
-    places = current.select(
+    places = done.unionByName(still).select(
         "id", F.when(~cyclic, F.col("root")).alias("root"), F.when(~cyclic, F.col("steps")).alias("depth"),
         cyclic.alias("is_cyclic"),
     )
@@ -266,9 +297,11 @@ def dated(all_edges: DataFrame, documents: DataFrame, meetings: DataFrame) -> Da
 
 def validated(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     """One row of graph counts and faults; a valid graph has no fault, no revision cycle and is not empty."""
+    all_edges = stored(all_edges.select("source_type", "source_id", "predicate", "target_type", "target_id"), "edges")
+    all_nodes = stored(all_nodes.select("type", "entity"), "nodes")
     circular = cycles.strong_components(revision_links(all_edges)).select("component").distinct()
     parts = {name: rows.agg(F.count(F.lit(1)).alias("n")) for name, rows in {
-        "nodes": all_nodes, "edges": all_edges, "faults": orphans(all_edges, all_nodes), "cycles": circular,
+        "nodes": all_nodes, "edges": all_edges, "faults": _faults(all_edges, all_nodes), "cycles": circular,
     }.items()}
     rows = None
     for name, one in parts.items():

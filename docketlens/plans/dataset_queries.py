@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
 from ..operators import blocks, cycles, fulltext, graph, lifecycle, retrieval, search, substrings, versions
-from ..session import cut_lineage, fresh_path
+from ..session import cut_lineage, fresh_path, stored
 from ..sources import listings, store
 from ..streaming import arrivals, retries
 from .domain import derive, read
 from .queries import (
-    _EDGES, _FACTS, _HREFS, _LEXICAL, _NODES, _TOKENS, QUERIES, RECS, SQL, asked, bodies, event_stream, found_facts, line_blocks, query,
+    _EDGES, _FACTS, _HREFS, _LEXICAL, _NODES, _TOKENS, QUERIES, RECS, SQL, asked, bodies, event_stream, found_facts, kept_facts, line_blocks, query,
     records, turn_blocks,
 )
 
@@ -99,7 +99,7 @@ def _(spark, sf):
     count(DISTINCT concat(CASE WHEN predicate = 'contains' THEN meeting_id ELSE tdoc_id END, predicate, type, entity)) AS edges,
     count(DISTINCT concat(tdoc_id, entity)) FILTER (WHERE predicate = 'revises') AS revisions FROM g GROUP BY wg""", "tdocs")
 def _(spark, sf):
-    found = found_facts(spark, sf).withColumn("wg", F.split("meeting_id", "-")[0])
+    found = kept_facts(spark, sf).withColumn("wg", F.split("meeting_id", "-")[0])
     # Distinct first, so that a popular entity is one row before anything is counted.
     source = F.when(F.col("predicate") == "contains", F.col("meeting_id")).otherwise(F.col("tdoc_id"))
     edges = found.select("wg", source.alias("source"), "predicate", "type", "entity").distinct()
@@ -146,7 +146,7 @@ def _(spark, sf):
 @query("graph_validation", f"""WITH {_FACTS}, {_NODES}, {_EDGES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges,
   CAST(0 AS BIGINT) AS faults, CAST(0 AS BIGINT) AS cycles, true AS valid""", "meetings", "tdocs")
 def _(spark, sf):
-    found = found_facts(spark, sf)
+    found = kept_facts(spark, sf)
     return graph.validated(graph.nodes(found, derive(spark, sf, "meetings")), graph.edges(found))
 
 
@@ -160,7 +160,7 @@ _STRONG = """reach AS (SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM
 
 
 def planted_links(spark: SparkSession, sf_dir: str, cyclic: bool = True) -> DataFrame:
-    tdocs = derive(spark, sf_dir, "tdocs").filter("revised_from is not null").select("id", "seq", "revised_from")
+    tdocs = stored(derive(spark, sf_dir, "tdocs").filter("revised_from is not null").select("id", "seq", "revised_from"), "revisions")
     older = tdocs.select(F.col("id").alias("revised_from"), F.col("revised_from").alias("older"))
     links = tdocs.select(F.col("id").alias("src"), F.col("revised_from").alias("dst")).unionByName(
         tdocs.filter("seq % 5 = 0").join(older, "revised_from").select(F.col("id").alias("src"), F.col("older").alias("dst"))
@@ -175,7 +175,7 @@ def planted_links(spark: SparkSession, sf_dir: str, cyclic: bool = True) -> Data
   SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) + (SELECT count(*) FROM more) AS edges, CAST(0 AS BIGINT) AS faults,
     (SELECT count(DISTINCT component) FROM strong) AS cycles, (SELECT count(*) FROM strong) = 0 AS valid""", "meetings", "tdocs")
 def _(spark, sf):
-    found = found_facts(spark, sf)
+    found = kept_facts(spark, sf)
     planted = planted_links(spark, sf).select(
         F.lit("tdoc").alias("source_type"), F.col("src").alias("source_id"), F.lit("revises").alias("predicate"),
         F.lit("tdoc").alias("target_type"), F.col("dst").alias("target_id"),
