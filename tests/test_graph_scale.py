@@ -66,3 +66,25 @@ def test_short_chains_are_trimmed_without_compression(spark, monkeypatch):
     found = cycles.strong_components(spark.createDataFrame(rows, "src string, dst string"))
     assert sorted(map(tuple, found.collect())) == [("0-a", "0-a"), ("0-b", "0-a")]
     assert called and max(called) <= 2
+
+
+def test_pointers_on_cycles_stop_early_with_right_ends(spark, monkeypatch):
+    # Many pairs, a cycle of five, a tail of nine into it, a path of six.
+    follow = {f"p{i}": f"p{i ^ 1}" for i in range(600)} | {f"c{i}": f"c{(i + 1) % 5}" for i in range(5)}
+    follow |= {f"a{i}": f"a{i + 1}" for i in range(8)} | {"a8": "c3"} | {f"z{i}": f"z{i + 1}" for i in range(5)} | {"z5": None}
+    written = []
+    plain = cycles.stored
+    monkeypatch.setattr(cycles, "stored", lambda df, *a: written.append(1) or plain(df, *a))
+    rows = {r["id"]: r for r in cycles.followed(spark.createDataFrame(list(follow.items()), "id string, next string")).collect()}
+    assert len(written) < 9
+    for start, row in rows.items():
+        seen, at = [], start
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = follow[at]
+        assert row["cyclic"] == (at is not None)
+        if row["cyclic"]:
+            assert row["least"] == min(seen) and row["end"] in seen[seen.index(at):]
+        else:
+            assert (row["end"], row["steps"]) == (seen[-1], len(seen) - 1)
+    assert {r["end"] for r in rows.values() if r["cyclic"]} == {i for i in follow if i[0] in "pc"}
