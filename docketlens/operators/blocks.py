@@ -60,24 +60,24 @@ def coalesce_blocks(documents: DataFrame, limits: BlockLimits = BlockLimits()) -
     """
     size = text.max_words(limits.max_tokens)
 
-    def element(b: Column, body: Column) -> Column:
+    def element(b: Column, body: Column, n: Column) -> Column:
         return F.struct(
             b["kind"].alias("kind"), body.alias("text"), b["section_path"].alias("section_path"),
-            b["table_row"].alias("table_row"), text.estimate_tokens(body).alias("tokens"),
+            b["table_row"].alias("table_row"), text.tokens_of_words(n).alias("tokens"),
             F.concat_ws(
                 "\x01", text.group_type(b["kind"]), F.array_join(b["section_path"], "\x02")
             ).alias("key"),
         )
 
-    present = F.filter("blocks", lambda b: text.word_count(b["text"]) > 0)
+    # Words are counted once, since the pattern costs more than all the rest.
+    counted = F.transform("blocks", lambda b: F.struct(b.alias("b"), text.word_count(b["text"]).alias("n")))
     cut = F.flatten(
         F.transform(
-            present,
-            lambda b: F.when(
-                (b["kind"] != "heading")
-                & (text.estimate_tokens(b["text"]) > limits.max_tokens),
-                F.transform(text.word_windows(b["text"], size), lambda w: element(b, w)),
-            ).otherwise(F.array(element(b, b["text"]))),
+            F.filter(counted, lambda c: c["n"] > 0),
+            lambda c: F.when(
+                (c["b"]["kind"] != "heading") & (text.tokens_of_words(c["n"]) > limits.max_tokens),
+                F.transform(text.word_windows(c["b"]["text"], size), lambda w: element(c["b"], w, text.word_count(w))),
+            ).otherwise(F.array(element(c["b"], c["b"]["text"], c["n"]))),
         )
     )
     start = F.expr(
@@ -184,13 +184,14 @@ def build_chunks(documents: DataFrame, limits: ChunkLimits = ChunkLimits()) -> D
     minimum, and once it reaches the target. A block above the maximum becomes its own parts.
     """
     size = text.max_words(limits.max_tokens)
-    items = F.transform(
-        F.filter("blocks", lambda b: text.word_count(b["text"]) > 0),
+    counted = F.transform(
+        "blocks",
         lambda b: F.struct(
             b["id"].alias("id"), b["text"].alias("text"),
             b["section_path"].alias("section_path"), text.word_count(b["text"]).alias("words"),
         ),
     )
+    items = F.filter(counted, lambda b: b["words"] > 0)
     start = F.expr(
         "named_struct('open', false, 'words', 0, 'path', CAST(array() AS array<string>), "
         "'pos', 0, 'starts', CAST(array() AS array<int>))"

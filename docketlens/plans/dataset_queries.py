@@ -266,12 +266,13 @@ def _(spark, sf):
 
 @query("chunk_evidence", r"""SELECT CAST(doc_id AS VARCHAR) AS document_id FROM documents WHERE trim(text, chr(10) || chr(9) || ' ') <> ''""")
 def _(spark, sf):
-    # Every document with text has chunks, and each chunk's blocks lead to stored evidence.
-    packed = blocks.coalesce_blocks(line_blocks(spark, sf))
+    # Every document with text has chunks, and each chunk's blocks lead to stored evidence. Blocks and the ids of chunks
+    # are read more than once, so both are written.
+    packed = stored(blocks.coalesce_blocks(line_blocks(spark, sf)), "packed")
     of_block = blocks.explode_blocks(packed).select(
         F.col("id").alias("block_id"), ids.evidence_id(F.lit("v1"), F.lit("x"), F.col("id")).alias("evidence_id")
     ).distinct()
-    chunks = blocks.build_chunks(packed)
+    chunks = stored(blocks.build_chunks(packed).select("id", "document_id", "block_ids"), "chunks")
     return blocks.chunk_evidence(chunks, of_block).join(chunks.select("id", "document_id").distinct(), "id").select("document_id").distinct()
 
 

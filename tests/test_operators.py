@@ -260,3 +260,21 @@ def test_archive_guards(spark):
 def test_compare_needs_two_meetings(spark):
     with pytest.raises(ValueError):
         briefing.compared(spark.createDataFrame([("a", "M")], "status string, meeting_id string"), ("M",))
+
+
+def test_blocks_of_documents_are_packed_once(spark, sf):
+    from docketlens.plans import dataset_queries
+
+    found = dataset_queries.QUERIES["chunk_evidence"](spark, sf)
+    assert "documents.parquet" not in found._jdf.queryExecution().toString()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").filter(F.trim(F.translate("text", "\n\t", "  ")) != "")
+    assert sorted(r[0] for r in found.collect()) == sorted(str(r["doc_id"]) for r in rows.select("doc_id").collect())
+
+
+def test_words_are_counted_once_per_block(spark):
+    docs = one_document(spark, [("paragraph", None, ["s"], None), ("paragraph", " ", ["s"], None), ("paragraph", words(1200), ["s"], None)])
+    packed = blocks.coalesce_blocks(docs)
+    plan = blocks.build_chunks(packed)._jdf.queryExecution().optimizedPlan().toString()
+    # A block, a window of a large block and a packed block; the tokens of a chunk's part count once more.
+    assert plan.count("regexp_count") <= 4
+    assert sum(len(r["text"].split()) for r in blocks.explode_blocks(packed).collect()) == 1200
