@@ -11,7 +11,8 @@ pass are confirmed by intersecting the full sets.
 No bucket gives its pairs. First every set of a bucket meets one pivot. Later rounds look only at buckets
 that still hold sets of several components, and there only at pairs of different components: each set that
 is not in the pivot's component is compared with the others by its signature and sends its best partners,
-more in each round, until none is held back. Of several shared buckets the first one sends a pair. Then every candidate pair between different components has
+more in each round, until none is held back. Components only grow, so a set that sent all its partners in a bucket need
+not ask there again. Of several shared buckets the first one sends a pair. Then every candidate pair between different components has
 been tested, so no link between different components is lost, while links inside one are not needed.
 Large buckets are cut into tiles, so a task holds two blocks of signatures.
 
@@ -291,16 +292,23 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, partners: int, percent: int,
-                tile: int = TILE) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of different components that share a bucket.
+                tile: int = TILE, held: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of different components that share a bucket, with its ``key`` and the set that ``asked``.
 
     Each set outside of its bucket's pivot component sends its ``partners`` best candidates of a tile;
-    ``more`` says that it held others back. ``roots``: ``node, root`` of sets that are not their own root.
+    ``more`` says that it held others back. ``roots``: ``node, root`` of sets that are not their own root. With
+    ``held`` only these ``key, node`` ask: those that held candidates back before.
     """
+    if held is not None:
+        buckets = buckets.join(held.select("key").distinct(), "key", "left_semi").join(
+            held.withColumn("held", F.lit(True)), ["key", "node"], "left"
+        )
     labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     pivots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     labelled = labelled.join(pivots, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
     asking = F.col("root") != F.col("pivot_root")
+    if held is not None:
+        asking = asking & F.col("held").isNotNull()
     mixed = labelled.groupBy("key").agg(F.count_if(asking).alias("outside")).filter("outside > 0")
     split = F.ceil(F.col("size") / tile).cast("int")
     blocks = F.sequence(F.lit(0), split - 1)
@@ -341,14 +349,13 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, partners
                 a, b = node[some][left[best]], node[base][right[best]]
                 held_back = np.bincount(left, minlength=len(some))[left[best]] > partners
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(held_back)],
-                    names=["a", "b", "more"],
+                    [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(held_back),
+                     pa.array(np.full(len(a), key[0])), pa.array(a)],
+                    names=["a", "b", "more", "key", "asked"],
                 )
 
-    return (
-        tiles.repartition("key", "tile").sortWithinPartitions("key", "tile")
-        .transform(map_in_arrow, run, "a long, b long, more boolean")
-        .groupBy("a", "b").agg(F.max("more").alias("more"))
+    return tiles.repartition("key", "tile").sortWithinPartitions("key", "tile").transform(
+        map_in_arrow, run, "a long, b long, more boolean, key long, asked long"
     )
 
 
@@ -406,16 +413,17 @@ def set_components(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, pa
     stars = buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     tested = cut_lineage(near_pairs(stars, nodes, percent).coalesce(parts))
     links = [cut_lineage(confirmed(tested, sets, percent).coalesce(parts))]
+    held = None
     while True:
         roots = _components(links)
-        found = cut_lineage(cross_pairs(buckets, nodes, roots, partners, percent, tile).coalesce(parts))
-        fresh = found.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        found = cut_lineage(cross_pairs(buckets, nodes, roots, partners, percent, tile, held).coalesce(parts))
+        fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         new = cut_lineage(confirmed(fresh, sets, percent).coalesce(parts))
-        more = found.filter("more").limit(1).count()
+        held = cut_lineage(found.filter("more").select("key", F.col("asked").alias("node")).distinct())
         if new.limit(1).count():
             links.append(new)
             roots = None
-        if not more:
+        if not held.limit(1).count():
             return _components(links) if roots is None else roots
         tested = cut_lineage(tested.unionByName(found.select("a", "b")).distinct().coalesce(parts))
         partners *= 8

@@ -72,6 +72,22 @@ def test_against_all_pairs(spark, seed, partners, tile):
     assert found(docs, partners=partners, tile=tile) == plain_rows(rows)
 
 
+def test_only_sets_that_held_partners_back_ask_again(spark, monkeypatch):
+    cross, rounds = minhash.cross_pairs, []
+
+    def spied(*args):
+        pairs = minhash.cut_lineage(cross(*args))
+        allowed = args[-1] and {tuple(r) for r in args[-1].select("key", "node").collect()}
+        rounds.append((allowed, {tuple(r) for r in pairs.select("key", "asked").collect()}))
+        return pairs
+
+    monkeypatch.setattr(minhash, "cross_pairs", spied)
+    rows = planted(3, groups=3)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), partners=1, tile=16) == plain_rows(rows)
+    assert len(rounds) > 1 and rounds[0][0] is None
+    assert all(asked <= allowed for allowed, asked in rounds[1:])
+
+
 def test_edges(spark, edge_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
     expected = plain_rows(rows)
