@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
@@ -11,18 +13,22 @@ from . import cycles
 
 _FACT = "array<struct<type:string,entity:string,label:string,predicate:string,placeholder:boolean>>"
 
+#: Type of the entity and whether it is a placeholder, by predicate.
+_KINDS = {
+    "contains": ("tdoc", False), "submitted_by": ("organization", False), "belongs_to_agenda": ("agenda_item", False),
+    "mentions_topic": ("topic", False), "affects_spec": ("specification", False), "targets_release": ("release", False),
+    "related_to_work_item": ("work_item", False), "has_change_request": ("change_request", False), "revises": ("tdoc", True),
+}
+
 
-def _fact(kind: str, entity: Column, label: Column, predicate: str, placeholder: bool = False) -> Column:
+def _fact(predicate: str, entity: Column, label: Column) -> Column:
+    kind, placeholder = _KINDS[predicate]
     return F.struct(
         F.lit(kind).alias("type"), entity.alias("entity"), label.alias("label"),
         F.lit(predicate).alias("predicate"), F.lit(placeholder).alias("placeholder"),
     )
 
 
-def _listed(kind: str, values: Column, predicate: str) -> Column:
-    return F.transform(values, lambda v: _fact(kind, text.canonical_identifier(v), v, predicate))
-
-
 def facts(documents: DataFrame) -> DataFrame:
     """One row per related entity of every document.
 
@@ -37,6 +43,39 @@ def stored_facts(documents: DataFrame) -> DataFrame:
     return listed_facts(stored(gathered_facts(documents), "facts").repartition("tdoc_id"))
 
 
+def distinct_facts(documents: DataFrame) -> DataFrame:
+    """Each document's distinct facts without labels, made once, for jobs that go over them several times.
+
+    Columns: ``tdoc_id, meeting_id, alone, type, entity, predicate, placeholder``. What is written is a row per
+    document with its entities. No other document has the id of an ``alone`` one, so that its facts are told apart
+    wherever they are read (``told_apart``).
+    """
+    parts = _parts(lambda predicate, entity, label: entity)
+    # Documents that lie by id are counted where they lie.
+    counted = documents.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("id")) == 1)
+    kept = stored(counted.select(
+        F.col("id").alias("tdoc_id"), "meeting_id", "alone", *[F.array_distinct(p).alias(name) for name, p in parts.items()]
+    ), "facts")
+    kinds = F.array(*[
+        F.struct(F.lit(kind).alias("type"), F.lit(predicate).alias("predicate"), F.lit(placeholder).alias("placeholder"),
+                 F.col(predicate).alias("entities"))
+        for predicate, (kind, placeholder) in _KINDS.items()
+    ])
+    return kept.select("tdoc_id", "meeting_id", "alone", F.inline(kinds)).select(
+        "tdoc_id", "meeting_id", "alone", "type", F.explode("entities").alias("entity"), "predicate", "placeholder"
+    )
+
+
+def told_apart(found: DataFrame, *columns: Column | str) -> DataFrame:
+    """The distinct ``columns`` of facts, the document's id and the rest of what makes them distinct among them.
+
+    Of ``distinct_facts`` only those of documents that share an id have to meet.
+    """
+    if "alone" not in found.columns:
+        return found.select(*columns).distinct()
+    return found.filter("alone").select(*columns).unionByName(found.filter("not alone").select(*columns).distinct())
+
+
 def listed_facts(gathered: DataFrame) -> DataFrame:
     return gathered.select("tdoc_id", "meeting_id", "seq", F.posexplode("f").alias("pos", "f")).select(
         "tdoc_id", "meeting_id", "seq", "pos", "f.*"
@@ -46,10 +85,21 @@ def listed_facts(gathered: DataFrame) -> DataFrame:
 def gathered_facts(documents: DataFrame) -> DataFrame:
     """``tdoc_id, meeting_id, seq`` and the array ``f`` of a document's facts."""
     nothing = F.expr(f"cast(array() as {_FACT})")
+    return documents.select(
+        F.col("id").alias("tdoc_id"), "meeting_id", "seq",
+        F.concat(*[F.coalesce(p, nothing) for p in _parts(_fact).values()]).alias("f"),
+    )
+
+
+def _parts(make: Callable[[str, Column, Column], Column]) -> dict[str, Column]:
+    """By predicate the array of ``make(predicate, entity, label)`` of a document; null or empty where it states none."""
 
     def given(value: Column) -> Column:
         return F.coalesce(value, F.lit("")) != ""
 
+    def listed(predicate: str, values: Column) -> Column:
+        return F.transform(values, lambda v: make(predicate, text.canonical_identifier(v), v))
+
     item, topic = F.col("agenda_item"), F.col("agenda_description")
     number = F.when(given(item), item).otherwise(topic)
     agenda_id = F.concat("meeting_id", F.lit(":"), text.canonical_identifier(number))
@@ -57,41 +107,37 @@ def gathered_facts(documents: DataFrame) -> DataFrame:
     title = F.when(given(F.col("title")), F.col("title")).otherwise(F.col("id"))
     change_id = F.concat("meeting_id", F.lit(":"), text.canonical_identifier(F.col("cr_number")))
     change_label = F.concat(F.lit("CR "), F.col("cr_number"))
-    parts = [
-        F.array(_fact("tdoc", F.col("id"), title, "contains")),
-        _listed("organization", F.col("companies"), "submitted_by"),
-        F.when(given(item) | given(topic),
-               F.array(_fact("agenda_item", agenda_id, agenda_label, "belongs_to_agenda"))),
-        F.when(given(topic),
-               F.array(_fact("topic", text.canonical_identifier(topic), topic, "mentions_topic"))),
-        _listed("specification", F.col("specifications"), "affects_spec"),
-        _listed("release", F.col("releases"), "targets_release"),
-        _listed("work_item", F.col("work_items"), "related_to_work_item"),
-        F.when(given(F.col("cr_number")),
-               F.array(_fact("change_request", change_id, change_label, "has_change_request"))),
-        F.when(given(F.col("revised_from")),
-               F.array(_fact("tdoc", F.col("revised_from"), F.col("revised_from"), "revises", True))),
-    ]
-    return documents.select(
-        F.col("id").alias("tdoc_id"), "meeting_id", "seq",
-        F.concat(*[F.coalesce(p, nothing) for p in parts]).alias("f"),
-    )
+    before = F.col("revised_from")
+    made = {
+        "contains": F.array(make("contains", F.col("id"), title)),
+        "submitted_by": listed("submitted_by", F.col("companies")),
+        "belongs_to_agenda": F.when(
+            given(item) | given(topic), F.array(make("belongs_to_agenda", agenda_id, agenda_label))),
+        "mentions_topic": F.when(given(topic), F.array(make("mentions_topic", text.canonical_identifier(topic), topic))),
+        "affects_spec": listed("affects_spec", F.col("specifications")),
+        "targets_release": listed("targets_release", F.col("releases")),
+        "related_to_work_item": listed("related_to_work_item", F.col("work_items")),
+        "has_change_request": F.when(
+            given(F.col("cr_number")), F.array(make("has_change_request", change_id, change_label))),
+        "revises": F.when(given(before), F.array(make("revises", before, before))),
+    }
+    return made
 
 
 def nodes(found: DataFrame, meetings: DataFrame) -> DataFrame:
     """Distinct ``(type, entity, label, placeholder)``; the first fact wins, a real one over a placeholder.
 
-    A popular entity is reduced in each task before the shuffle (``min_by`` combines partially).
+    A popular entity is reduced in each task before the shuffle (``min_by`` combines partially). Facts without
+    labels give nodes without labels.
     """
-    chosen = found.groupBy("type", "entity").agg(
-        F.min_by("label", F.struct("placeholder", "seq", "pos")).alias("label"),
-        F.min("placeholder").alias("placeholder"),
-    )
+    labelled = "label" in found.columns
+    label = [F.min_by("label", F.struct("placeholder", "seq", "pos")).alias("label")] if labelled else []
+    chosen = found.groupBy("type", "entity").agg(*label, F.min("placeholder").alias("placeholder"))
     of_meetings = meetings.select(
         F.lit("meeting").alias("type"), F.col("id").alias("entity"), F.col("name").alias("label"),
         F.lit(False).alias("placeholder"),
     ).distinct()
-    return chosen.unionByName(of_meetings)
+    return chosen.unionByName(of_meetings.select(*chosen.columns))
 
 
 def edges(found: DataFrame, version: str = "v1") -> DataFrame:
@@ -100,9 +146,9 @@ def edges(found: DataFrame, version: str = "v1") -> DataFrame:
     A document's edges are told apart by its id, so facts that already lie by document are not shuffled.
     """
     contains = F.col("predicate") == "contains"
-    once = found.select(
-        "tdoc_id", F.when(contains, F.col("meeting_id")).alias("meeting_id"), "predicate", "type", "entity"
-    ).distinct()
+    once = told_apart(
+        found, "tdoc_id", F.when(contains, F.col("meeting_id")).alias("meeting_id"), "predicate", "type", "entity"
+    )
     return once.select(
         F.when(contains, "meeting").otherwise("tdoc").alias("source_type"),
         F.when(contains, F.col("meeting_id")).otherwise(F.col("tdoc_id")).alias("source_id"),

@@ -126,33 +126,35 @@ def _lists_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     partial lists would be sorted and written for nothing.
     """
     lines, supplier, part = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
-    fields = ("s_name", "p_brand", "p_type", "p_size", "p_name")
+    fields = ("s_name", "p_brand", "p_type", "p_size")
     joined = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    each = joined.filter("l_orderkey is not null").select(
-        F.concat(F.lit("T-"), F.col("l_orderkey").cast("string")).alias("doc_id"), *[F.col(f).cast("string").alias(f) for f in fields]
+    # Lines go by document id but carry the order's key, which is shorter. The part's name is apart from the other
+    # values, so that lines leave it behind where no title is asked for.
+    key = F.concat(F.lit("T-"), F.col("l_orderkey").cast("string"))
+    each = joined.filter("l_orderkey is not null").select("l_orderkey", *fields, "p_name").repartition(key).select(
+        key.alias("doc_id"), *[F.col(f).cast("string").alias(f) for f in fields], "p_name"
     )
-    gathered = each.repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("v"))
+    gathered = each.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("v"), F.min("p_name").alias("part_name"))
     none = F.array(F.lit(None).cast("string"))
     listed = {name: F.sort_array(F.array_except(F.col("v")[field], none))
               for name, field in (("suppliers", "s_name"), ("brands", "p_brand"), ("types", "p_type"), ("sizes", "p_size"))}
-    return gathered.select("doc_id", *[made.alias(name) for name, made in listed.items()],
-                           F.array_min(F.col("v")["p_name"]).alias("part_name"))
+    return gathered.select("doc_id", *[made.alias(name) for name, made in listed.items()], "part_name")
 
 
 def _tdocs(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     """``tdocs`` with the chains found on narrow rows; the lists come last, so that rows lie by document id."""
     start, end = query.index("FROM orders"), query.index("WINDOW chain")
     previous = re.search(r"CASE WHEN o_orderkey % 7 .*?AS revised_from", query, re.S).group(0)
-    placed = f"""SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate, n_nationkey, n_regionkey,
-  concat('T-', CAST(o_orderkey AS STRING)) AS doc_key, {previous}
+    placed = f"""SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate, n_nationkey, n_regionkey, {previous}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 {query[end:]}"""
     for table in ("orders", "customer", "nation"):
         placed = _bound(placed, table)
     chained = spark.sql(placed, **{t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")})
-    whole = query[:start].replace(previous, "revised_from").replace("concat('T-', CAST(o_orderkey AS STRING)) AS id", "doc_key AS id")
-    return spark.sql(whole + "FROM {chained} LEFT JOIN {lists} ON doc_key = doc_id", chained=chained,
-                     lists=_lists_of_lines(spark, sf_dir))
+    whole = query[:start].replace(previous, "revised_from")
+    # Rows lie by document id but carry the order's key, which is shorter.
+    return spark.sql(whole + "FROM {chained} LEFT JOIN {lists} ON concat('T-', CAST(o_orderkey AS STRING)) = doc_id",
+                     chained=chained, lists=_lists_of_lines(spark, sf_dir))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -822,8 +822,8 @@ def found_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same facts for queries that go over them more than once."""
-    return graph.stored_facts(records(spark, sf_dir))
+    """Distinct facts without labels, for queries that go over them more than once and show no label."""
+    return graph.distinct_facts(records(spark, sf_dir))
 
 
 @query("graph_nodes", f"WITH {_FACTS}, {_NODES} SELECT * FROM nodes", "meetings", "tdocs")

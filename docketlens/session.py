@@ -59,15 +59,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's setting for queries whose shuffle files go when the query ends, not when the driver collects its garbage.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     """``df`` as a written table in the shared folder.
 
     Like ``cut_lineage``, for loops of many rounds: a checkpoint hands the plan's constraints and size
-    estimates on to the next round, and they grow from round to round; a table has neither.
+    estimates on to the next round, and they grow from round to round; a table has neither. What the
+    write shuffled is not read again, so its files do not wait on disk beside those of later steps.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLES_GO)
+        else:
+            spark.conf.set(_SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()

@@ -1,11 +1,19 @@
 """Steps of the graph that must not move or look up more rows than needed, and odd values on their way."""
 
 import re
+import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from docketlens.functions import text
 from docketlens.operators import cycles, graph
+from docketlens.plans import dataset_queries
+from docketlens.plans.domain import TABLES
+from docketlens.session import stored
+
+from .compare import spark_rows, sql_rows
 
 
 def _documents(spark, rows):
@@ -88,3 +96,60 @@ def test_pointers_on_cycles_stop_early_with_right_ends(spark, monkeypatch):
         else:
             assert (row["end"], row["steps"]) == (seen[-1], len(seen) - 1)
     assert {r["end"] for r in rows.values() if r["cyclic"]} == {i for i in follow if i[0] in "pc"}
+
+
+def test_distinct_facts_give_the_edges_of_facts_without_a_shuffle(spark):
+    rows = [(f"D{i}", "M1", i, "t", "1", "top", ["A", "a", None], ["S/1", "s 1"], [], None, None, f"D{i - 1}" if i % 3 else None)
+            for i in range(20)]
+    rows += rows[:2] + [("D4", "M2", 4, "t", "2", "top", ["b"], [], [], [], "7", "D3"), (None, "M1", 0, "t", "", "", [], [], [], [], "", "")]
+    documents = _documents(spark, rows + rows[-1:])
+    plain, found = graph.facts(documents), graph.distinct_facts(documents)
+    assert {r["tdoc_id"] for r in found.filter("not alone").collect()} == {"D0", "D1", "D4", None}
+    columns = ["tdoc_id", "meeting_id", "type", "entity", "predicate", "placeholder"]
+    assert {tuple(r) for r in found.select(columns).collect()} == {tuple(r) for r in plain.select(columns).collect()}
+    assert sorted(map(str, graph.edges(found).collect())) == sorted(map(str, graph.edges(plain).collect()))
+    # Only documents that share an id are shuffled.
+    plan = graph.edges(found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "NOT alone" in plan[plan.index("Exchange"):]
+    meetings = spark.createDataFrame([("M1", "one")], "id string, name string")
+    assert sorted(map(str, graph.nodes(found, meetings).collect())) == sorted(map(str, graph.nodes(plain, meetings).drop("label").collect()))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {name for name in re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" "))}
+
+    before = files()
+    kept = stored(spark.range(1000).repartition("id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_lines_leave_part_names_behind_where_no_title_is_asked_for(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, name="rows": written.append(df) or df)
+    graph.distinct_facts(dataset_queries.records(spark, sf))
+    assert "p_name" not in written[0]._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def doubled(sf, tmp_path_factory):
+    """Tables in which every tenth order stands a second time, under another customer and so mostly in another meeting."""
+    made, con = tmp_path_factory.mktemp("doubled"), duckdb.connect()
+    for table in TABLES:
+        again = f"UNION ALL SELECT * REPLACE (o_custkey + 1 AS o_custkey) FROM '{sf}/orders.parquet' WHERE o_orderkey % 10 = 0" if table == "orders" else ""
+        con.execute(f"COPY (SELECT * FROM '{sf}/{table}.parquet' {again}) TO '{made}/{table}.parquet' (FORMAT parquet)")
+    return str(made)
+
+
+@pytest.mark.parametrize("name", ["graph_orphans", "graph_bounded"])
+def test_documents_that_share_an_id(spark, doubled, name):
+    columns, rows = spark_rows(dataset_queries.QUERIES[name](spark, doubled))
+    assert rows and rows == sql_rows(dataset_queries.SQL[name], doubled, columns)
