@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,15 +102,20 @@ def _(spark, sf):
     count(DISTINCT concat(tdoc_id, entity)) FILTER (WHERE predicate = 'revises') AS revisions FROM g GROUP BY wg""", "tdocs")
 def _(spark, sf):
     found = kept_facts(spark, sf).withColumn("wg", F.split("meeting_id", "-")[0])
+    # A document's edges are told apart by its id, so they are counted where they lie.
+    meeting = F.when(F.col("predicate") == "contains", F.col("meeting_id")).alias("meeting_id")
+    edges = graph.told_apart(found, "wg", "tdoc_id", meeting, "predicate", "type", "entity")
+    tdocs = graph.told_apart(found.filter("predicate = 'contains'"), "wg", "tdoc_id")
     # Distinct first, so that a popular entity is one row before anything is counted.
-    source = F.when(F.col("predicate") == "contains", F.col("meeting_id")).otherwise(F.col("tdoc_id"))
-    edges = found.select("wg", source.alias("source"), "predicate", "type", "entity").distinct()
-    nodes = edges.filter("type <> 'tdoc'").select("wg", "type", "entity").distinct().groupBy("wg").agg(F.count(F.lit(1)).alias("entities"))
-    counts = edges.groupBy("wg").agg(
-        F.count(F.lit(1)).alias("edges"), F.count_if(F.col("predicate") == "contains").alias("tdocs"),
-        F.count_if(F.col("predicate") == "revises").alias("revisions"),
+    nodes = found.filter("type <> 'tdoc'").select("wg", "type", "entity").distinct()
+    one, none = F.lit(1), F.lit(0)
+    parts = [edges.select("wg", none.alias("tdocs"), none.alias("entities"), one.alias("edges"),
+                          (F.col("predicate") == "revises").cast("int").alias("revisions")),
+             tdocs.select("wg", one.alias("tdocs"), none.alias("entities"), none.alias("edges"), none.alias("revisions")),
+             nodes.select("wg", none.alias("tdocs"), one.alias("entities"), none.alias("edges"), none.alias("revisions"))]
+    return reduce(DataFrame.unionByName, parts).groupBy("wg").agg(
+        *[F.sum(name).alias(name) for name in ("tdocs", "entities", "edges", "revisions")]
     )
-    return counts.join(nodes, "wg").select("wg", "tdocs", "entities", "edges", "revisions")
 
 
 @query("filtered_graph_counts", f"""WITH {_FACTS} SELECT meeting_id, count(DISTINCT tdoc_id) AS total,

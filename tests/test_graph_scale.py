@@ -149,7 +149,7 @@ def doubled(sf, tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["graph_orphans", "graph_bounded"])
+@pytest.mark.parametrize("name", ["group_graphs", "graph_orphans", "graph_bounded"])
 def test_documents_that_share_an_id(spark, doubled, name):
     columns, rows = spark_rows(dataset_queries.QUERIES[name](spark, doubled))
     assert rows and rows == sql_rows(dataset_queries.SQL[name], doubled, columns)
