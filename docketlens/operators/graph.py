@@ -342,8 +342,11 @@ def dated(all_edges: DataFrame, documents: DataFrame, meetings: DataFrame) -> Da
 
 
 def validated(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
-    """One row of graph counts and faults; a valid graph has no fault, no revision cycle and is not empty."""
-    all_edges = stored(all_edges.select("source_type", "source_id", "predicate", "target_type", "target_id"), "edges")
+    """One row of graph counts and faults; a valid graph has no fault, no revision cycle and is not empty.
+
+    Edges are many and wide, so they are not written but read several times; they should come from written facts.
+    """
+    all_edges = all_edges.select("source_type", "source_id", "predicate", "target_type", "target_id")
     all_nodes = stored(all_nodes.select("type", "entity"), "nodes")
     circular = cycles.strong_components(revision_links(all_edges)).select("component").distinct()
     parts = {name: rows.agg(F.count(F.lit(1)).alias("n")) for name, rows in {

@@ -132,6 +132,16 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_validated_writes_no_edges(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, name="rows": written.append(set(df.columns)) or stored(df, name))
+    edges = spark.createDataFrame([("1", "tdoc", "a", "x", "topic", "t"), ("2", "tdoc", "a", "revises", "tdoc", "a")],
+                                  "id string, source_type string, source_id string, predicate string, target_type string, target_id string")
+    nodes = spark.createDataFrame([("tdoc", "a")], "type string, entity string")
+    assert tuple(graph.validated(nodes, edges).first()) == (1, 2, 1, 1, False)
+    assert written and not any("predicate" in columns for columns in written)
+
+
 def test_lines_leave_part_names_behind_where_no_title_is_asked_for(spark, sf, monkeypatch):
     written = []
     monkeypatch.setattr(graph, "stored", lambda df, name="rows": written.append(df) or df)
@@ -149,7 +159,7 @@ def doubled(sf, tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["group_graphs", "graph_orphans", "graph_bounded"])
+@pytest.mark.parametrize("name", ["group_graphs", "graph_orphans", "graph_bounded", "graph_validation"])
 def test_documents_that_share_an_id(spark, doubled, name):
     columns, rows = spark_rows(dataset_queries.QUERIES[name](spark, doubled))
     assert rows and rows == sql_rows(dataset_queries.SQL[name], doubled, columns)
