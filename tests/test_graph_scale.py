@@ -142,6 +142,15 @@ def test_validated_writes_no_edges(spark, monkeypatch):
     assert written and not any("predicate" in columns for columns in written)
 
 
+def test_planted_links_meet_revisions_only(spark, sf, monkeypatch):
+    given = []
+    monkeypatch.setattr(graph, "validated", lambda nodes, edges: given.append(edges) or edges)
+    dataset_queries.QUERIES["graph_validation_cyclic"](spark, sf)
+    plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "NOT alone" in plan[plan.index("Exchange"):]
+    assert given[0].count() == given[0].distinct().count() > 0
+
+
 def test_lines_leave_part_names_behind_where_no_title_is_asked_for(spark, sf, monkeypatch):
     written = []
     monkeypatch.setattr(graph, "stored", lambda df, name="rows": written.append(df) or df)
