@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketlens.functions import text
 from docketlens.operators import cycles, graph
-from docketlens.plans import dataset_queries
+from docketlens.plans import dataset_queries, domain
 from docketlens.plans.domain import TABLES
 from docketlens.session import stored
 
@@ -172,3 +172,14 @@ def doubled(sf, tmp_path_factory):
 def test_documents_that_share_an_id(spark, doubled, name):
     columns, rows = spark_rows(dataset_queries.QUERIES[name](spark, doubled))
     assert rows and rows == sql_rows(dataset_queries.SQL[name], doubled, columns)
+
+
+@pytest.mark.parametrize("fits", [0, 10 << 20])
+def test_documents_equal_their_sql_wherever_suppliers_meet_lines(spark, doubled, monkeypatch, fits):
+    monkeypatch.setattr(domain, "FITS", fits)
+    columns, rows = spark_rows(domain.derive(spark, doubled, "tdocs").drop("received"))
+    assert rows == sql_rows(domain.oracle(f"SELECT {', '.join(columns)} FROM tdocs", "tdocs"), doubled, columns)
+    # Lines carry the supplier's key, not its name, to their document.
+    found = domain._lists_of_lines(spark, doubled)._jdf.queryExecution().optimizedPlan().toString()
+    moved = found[found.index("RepartitionByExpression"):].splitlines()[1]
+    assert ("s_name" in moved, "l_suppkey" in moved) == ((True, False) if not fits else (False, True))
